@@ -176,7 +176,7 @@ def items(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 500_000) -> DataFrame:
     """Contents of every container: (container_id, doc_id, piece_no, start_char, end_char, n_tokens)."""
     spark = docs.sparkSession
-    pieces = items(docs, capacity)
+    pieces = items(docs, capacity).dropDuplicates(["doc_id", "piece_no"])
     # At most `capacity` rows, however many documents there are.
     histogram = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}
     slots = spark.sparkContext.broadcast(slot_table(plan_patterns(histogram, capacity)))
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 500_000
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every container with its contents."""
-    return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text").dropDuplicates(["doc_id"]))
+    return pack(read_table(spark, sf_dir, "documents"))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
