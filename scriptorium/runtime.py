@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,6 +34,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_out(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared checkpoint folder, to be read several times; it goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+
+    def drop() -> None:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is gone; the folder belongs to whoever set it
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even out rows over the session's shuffle partitions before CPU-heavy Python work."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
