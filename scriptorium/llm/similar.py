@@ -10,9 +10,9 @@ of them: its first segment is equal, its first two differ by at most one word. S
 of its m segments, and those that meet are paired where the following segment is equal or lacks one word. A 64-bit
 parity sketch bounds the Hamming distance from below; what is left is checked exactly on the words.
 
-Scale. Equal word sets are one row before any key is made. Segments of frequent words only (or none),
-which a third of all rows may share, are sent out under the chain of two segments at once, so they spread over tasks.
-Keys travel as packed arrays. Nothing of corpus size reaches the driver: only the counts of the at most
+Scale. Equal word sets are one row before any key is made. A segment that HOT rows or more may share (frequent words
+only, or none) is sent out under the chain of two segments at once, so such rows spread over tasks; the others find
+their chains where they meet. Keys travel as packed arrays; large runs are compared in blocks of sketches. Nothing of corpus size reaches the driver: only the counts of the at most
 FREQUENT most frequent words do, and they steer the dealing of words, not the result.
 
 Copies. Rows with the same words form a class; its first `EXPAND` ids stand in all pairs, further ids
@@ -30,16 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scriptorium.runtime import read_table
+from scriptorium.runtime import read_table, write_out
 
 T = 0.7
 MIN_WORDS = 10
 EXPAND = 64
 FREQUENT = 4096
-#: A segment none of whose words is rarer than this share of the rows goes out under the chain of two segments.
-POOR = 1 / 24
+#: A segment that may be shared by so many rows goes out under the chain of two segments.
+HOT = 100_000
 #: Levels of tau, each with its own number of segments (its last tau plus one).
 LEVELS = [(0, 3), (4, 6), (7, 13), (14, 25)]
 while LEVELS[-1][1] < 100_000:
@@ -78,10 +79,13 @@ class Dealer:
     def __init__(self, counts: dict[int, int], rows: int) -> None:
         self.words = np.array(sorted(counts), np.uint32)
         self.share = np.array([counts[int(w)] / max(1, rows) for w in self.words])
+        self.rows = rows
         p = np.clip(self.share, 1e-12, 1)
         weight = -p * np.log2(p)
         order = np.argsort(-weight, kind="stable")
         self.deal: dict[int, np.ndarray] = {}
+        #: Share of the rows that have no frequent word in a segment.
+        self.void: dict[int, np.ndarray] = {}
         for level, (_, top) in enumerate(LEVELS):
             m = top + 1
             if m > 64:
@@ -92,6 +96,7 @@ class Dealer:
                 out[k] = i
                 heapq.heappush(heap, (load + weight[k], i))
             self.deal[level] = out
+            self.void[level] = np.exp(np.bincount(out, np.log1p(-np.minimum(p, 1 - 1e-9)), m))
 
     def segments(self, words: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """(segment, share of the rows) of each word."""
@@ -124,7 +129,8 @@ def emit(kind: np.ndarray, name: np.ndarray, words: np.ndarray, offsets: np.ndar
         cell = own * m + seg
         total = np.zeros(len(rows) * m, np.uint64)
         np.add.at(total, cell, scrambled[at])
-        rarest = np.ones(len(rows) * m)
+        rarest = np.tile(dealer.void.get(level, np.ones(m)), len(rows))
+        rarest[cell] = 1.0
         np.minimum.at(rarest, cell, share)
         held = np.bincount(cell, minlength=len(rows) * m)
         order = np.argsort(cell, kind="stable")
@@ -133,10 +139,10 @@ def emit(kind: np.ndarray, name: np.ndarray, words: np.ndarray, offsets: np.ndar
         row, at_seg = ids // m, ids % m
         key = mix(total + mix(((kind[rows[row]].astype(np.int64) * 64 + level) << 20) + at_seg))
         after = row * m + (at_seg + 1) % m
-        poor = rarest >= POOR
+        poor = rarest * dealer.rows >= HOT
         rich = np.flatnonzero(~poor)
         follow = _take(first[after[rich]], held[after[rich]])
-        yield {"key": key[rich], "name": name[rows[row[rich]]], "sketch": sketch[rows[row[rich]]], "size": size[rows[row[rich]]], "level": np.full(len(rich), level), "count": held[after[rich]], "follow": words[at][order[follow]]}
+        yield {"key": key[rich], "name": name[rows[row[rich]]], "sketch": sketch[rows[row[rich]]], "size": size[rows[row[rich]]], "level": np.full(len(rich), level), "count": held[after[rich]], "follow": words[at][order[follow]] & np.uint32(0xFFFF)}
         lean = np.flatnonzero(poor)
         chain = mix(key[lean] + mix(total[after[lean]]))
         none = np.zeros(0, np.uint32)
@@ -152,9 +158,10 @@ def _take(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-FIELDS = {"key": np.uint64, "name": np.int64, "sketch": np.uint64, "size": np.int32, "level": np.int8, "count": np.int8, "follow": np.uint32}
-#: Pairs looked at in one go.
-BLOCK = 1 << 21
+FIELDS = {"key": np.uint64, "name": np.int64, "sketch": np.uint64, "size": np.int32, "level": np.int8, "count": np.int16, "follow": np.uint16}
+SQUEEZED = ("size", "level", "count")
+#: Pairs looked at in one go, and pairs of a run from which on it is compared in blocks.
+BLOCK, LARGE_RUN = 1 << 20, 1 << 10
 
 
 def meet(x: dict[str, np.ndarray], t: float = T) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -176,28 +183,54 @@ def meet(x: dict[str, np.ndarray], t: float = T) -> Iterator[tuple[np.ndarray, n
     ends = np.concatenate([heads[1:], [len(whole)]]) if len(whole) else heads
     run_end = np.repeat(ends, ends - heads)
     pos = np.arange(len(whole))
+    low = np.array([a for a, _ in LEVELS])
+    high = np.array([b for _, b in LEVELS])
+
+    def passed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        level, size_i, size_j = x["level"][i], x["size"][i].astype(np.int64), x["size"][j].astype(np.int64)
+        most = tau(size_i + size_j, t)
+        ok = (np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]) <= most) & (most >= low[level]) & (most <= high[level]) & (np.abs(size_i - size_j) <= most) & (x["name"][i] != x["name"][j])
+        i, j = x["name"][i[ok]], x["name"][j[ok]]
+        return np.minimum(i, j), np.maximum(i, j)
+
+    def blocks(i: np.ndarray, j: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All of i with all of j, by their sketches; each pair once if the two are the same."""
+        limit, step = high[x["level"][i[0]]], max(1, BLOCK // len(j))
+        theirs = x["sketch"][j]
+        for a in range(0, len(i), step):
+            left = a if same else 0
+            p, q = np.nonzero(np.bitwise_count(x["sketch"][i[a : a + step], None] ^ theirs[None, left:]) <= limit)
+            if same:
+                p, q = p[q > p], q[q > p]
+            if len(p):
+                yield passed(i[a + p], j[left + q])
+
     # whole with whole: every later one of the run; lacking with whole: the whole run
+    sizes = ends - heads
+    for k in np.flatnonzero(sizes * sizes >= LARGE_RUN):
+        own = whole[heads[k] : ends[k]]
+        yield from blocks(own, own, True)
+    small = np.repeat(sizes * sizes < LARGE_RUN, sizes)
     keys = whole_key[heads]
     at = np.minimum(np.searchsorted(keys, part_key), max(0, len(keys) - 1))
     hit = np.flatnonzero(keys[at] == part_key) if len(keys) else np.zeros(0, np.int64)
-    left = np.concatenate([whole, part[hit]])
-    begin = np.concatenate([pos + 1, heads[at[hit]]])
-    many = np.concatenate([run_end - pos - 1, (ends - heads)[at[hit]]])
+    hit = hit[np.argsort(at[hit], kind="stable")]
+    runs, first, many = np.unique(at[hit], return_index=True, return_counts=True)
+    large = many * sizes[runs] >= LARGE_RUN
+    for k in np.flatnonzero(large):
+        yield from blocks(part[hit[first[k] : first[k] + many[k]]], whole[heads[runs[k]] : ends[runs[k]]], False)
+    hit = hit[np.repeat(~large, many)]
+    left = np.concatenate([whole[small], part[hit]])
+    begin = np.concatenate([pos[small] + 1, heads[at[hit]]])
+    many = np.concatenate([run_end[small] - pos[small] - 1, sizes[at[hit]]])
     sums = np.concatenate([[0], np.cumsum(many)])
-    low = np.array([a for a, _ in LEVELS])
-    high = np.array([b for _, b in LEVELS])
     a = 0
     while a < len(left):
         b = max(a + 1, int(np.searchsorted(sums, sums[a] + BLOCK, side="right")) - 1)
         i = np.repeat(left[a:b], many[a:b])
         j = whole[_take(begin[a:b], many[a:b])]
         ok = np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]) <= high[x["level"][i]]
-        i, j = i[ok], j[ok]
-        both = x["size"][i].astype(np.int64) + x["size"][j]
-        most = tau(both, t)
-        ok = (np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]) <= most) & (most >= low[x["level"][i]]) & (most <= high[x["level"][i]]) & (np.abs(x["size"][i].astype(np.int64) - x["size"][j]) <= most) & (x["name"][i] != x["name"][j])
-        i, j = x["name"][i[ok]], x["name"][j[ok]]
-        yield np.minimum(i, j), np.maximum(i, j)
+        yield passed(i[ok], j[ok])
         a = b
 
 
@@ -215,7 +248,8 @@ def _pack(found: dict[str, np.ndarray], parts: int) -> pa.RecordBatch | None:
         own = order[a:b]
         columns["part"].append(int(to[own[0]]))
         for k, kind in FIELDS.items():
-            columns[k].append((found[k][_take(starts[own], n[own])] if k == "follow" else found[k][own]).astype(kind).tobytes())
+            raw = (found[k][_take(starts[own], n[own])] if k == "follow" else found[k][own]).astype(kind).tobytes()
+            columns[k].append(zstandard.compress(raw, 1) if k in SQUEEZED else raw)
     return pa.RecordBatch.from_arrays([pa.array(columns["part"], pa.int32()), *(pa.array(columns[k], pa.binary()) for k in FIELDS)], ["part", *FIELDS])
 
 
@@ -236,7 +270,7 @@ def candidates(sets: DataFrame, dealer: Dealer, parts: int, t: float = T) -> Dat
         got: dict[str, list[np.ndarray]] = {k: [] for k in FIELDS}
         for batch in batches:
             for k, kind in FIELDS.items():
-                got[k] += [np.frombuffer(x, kind) for x in batch.column(k).to_pylist()]
+                got[k] += [np.frombuffer(zstandard.decompress(x) if k in SQUEEZED else x, kind) for x in batch.column(k).to_pylist()]
         if not got["key"]:
             return
         for a, b in meet({k: np.concatenate(v) for k, v in got.items()}, t):
@@ -278,7 +312,7 @@ def alike(sets: DataFrame, pairs: DataFrame, t: float = T) -> DataFrame:
 
 def similar_pairs(rows: DataFrame, t: float = T, min_words: int = MIN_WORDS, expand: int = EXPAND) -> DataFrame:
     """(kind, id_a, id_b) with id_a < id_b, from rows (kind int, id long, text string)."""
-    hashed = hashed_rows(rows, min_words)
+    hashed = write_out(hashed_rows(rows, min_words))
     dealer, n = make_dealer(hashed)
     conf = rows.sparkSession.conf
     parts = max(int(conf.get("spark.sql.shuffle.partitions")), n // 200_000)
