@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from scriptorium.plans import retrieval, texts
+
+QUERIES: dict = {**retrieval.QUERIES, **texts.QUERIES}
+ORACLE: dict = {**retrieval.ORACLE, **texts.ORACLE}
