@@ -26,6 +26,11 @@ NOT_FOUND = "This could not be found in the documents."
 DASHES = "-−–"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a column that a lambda refers to is computed anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize(text: Column) -> Column:
     """Typographic characters to plain ones, dot leaders to ' ... ', blanks and tabs to one blank, trimmed."""
     t = F.translate(text, "‘’“”–—\u00a0", "''\"\"-- ")
@@ -150,16 +155,16 @@ def is_abstention(answer: Column) -> Column:
 def missing_values(answer: Column, required: Column) -> Column:
     """Required values that an answer doesn't state: numbers by value (negative ones with their sign), others as text."""
     text = F.regexp_replace(answer, r"(?i)\[\s*S\s*\d+[^\]]*\]", " ")
-    stated = numbers_in(text)
 
-    def absent(v: Column) -> Column:
+    def absent(v: Column, stated: Column) -> Column:
         magnitude = F.regexp_replace(v, rf"^[{DASHES}]\s*", "")
         signed = F.regexp_like(text, F.concat(F.lit(rf"[{DASHES}]\s*\Q"), magnitude, F.lit(r"\E0*(?!\d)")))
         there = F.size(F.array_except(numbers_in(v), stated)) == 0
         number = F.when(v.rlike(rf"^[{DASHES}]"), there & signed).otherwise(there)
         return ~F.when(v.rlike(rf"^[{DASHES}]?\s*\d[\d.,]*$"), number).otherwise(F.contains(F.lower(text), F.lower(v)))
 
-    return F.filter(F.transform(required, lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")), absent)
+    values = F.transform(required, lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
+    return let(numbers_in(text), lambda stated: F.filter(values, lambda v: absent(v, stated)))
 
 
 def squashed(text: Column) -> Column:
@@ -184,7 +189,7 @@ def ngrams(ws: Column, n: int) -> Column:
 
 
 def copies_phrase(question: Column, passage: Column, n: int = 6) -> Column:
-    return F.arrays_overlap(ngrams(words(question), n), ngrams(words(passage), n))
+    return F.arrays_overlap(let(words(question), lambda w: ngrams(w, n)), let(words(passage), lambda w: ngrams(w, n)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
