@@ -103,7 +103,7 @@ def covered(sets: DataFrame, parts: int, t: float = T) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(runs)], ["eval_name", "train_name", "runs"])
 
     sent = sets.select("side", "name", "words").mapInArrow(send, "part int, " + ", ".join(f"{k} binary" for k in FIELDS))
-    met = sent.repartition(parts, "part").mapInArrow(pair, "eval_name long, train_name long, runs long")
+    met = sent.repartitionById(parts, "part").mapInArrow(pair, "eval_name long, train_name long, runs long")
     return met.groupBy("eval_name", "train_name").agg(F.sum("runs").alias("runs"))
 
 
@@ -111,7 +111,7 @@ def overlaps(train: DataFrame, evaluation: DataFrame, t: float = T, min_words: i
     """(kind, eval_id, train_id) of alike rows; train (id long, text), evaluation (kind int > 0, id string, text)."""
     spark = train.sparkSession
     rows = train.select(F.lit(0).alias("kind"), F.col("id").cast("string").alias("id"), "text").unionByName(evaluation.select("kind", "id", "text"))
-    hashed = hashed_rows(rows, min_words).withColumn("side", (F.col("kind") > 0).cast("int"))
+    hashed = hashed_rows(rows, min_words).withColumn("side", (F.col("kind") > 0).cast("int")).withColumn("name", F.xxhash64("words"))
     sets = hashed.groupBy("side", "name").agg(F.first("words").alias("words"))
     found = covered(sets, int(spark.conf.get("spark.sql.shuffle.partitions")), t)
     a = sets.filter("side = 1").select(F.col("name").alias("eval_name"), F.col("words").alias("words_a"))

@@ -162,6 +162,8 @@ FIELDS = {"key": np.uint64, "name": np.int64, "sketch": np.uint64, "size": np.in
 SQUEEZED = ("size", "level", "count")
 #: Pairs looked at in one go, and pairs of a run from which on it is compared in blocks.
 BLOCK, LARGE_RUN = 1 << 20, 1 << 10
+#: Pairs of a block: its arrays stay in a core's cache.
+TILE = 1 << 15
 
 
 def meet(x: dict[str, np.ndarray], t: float = T) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -195,15 +197,24 @@ def meet(x: dict[str, np.ndarray], t: float = T) -> Iterator[tuple[np.ndarray, n
 
     def blocks(i: np.ndarray, j: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All of i with all of j, by their sketches; each pair once if the two are the same."""
-        limit, step = high[x["level"][i[0]]], max(1, BLOCK // len(j))
-        theirs = x["sketch"][j]
+        limit, ours, theirs = high[x["level"][i[0]]], x["sketch"][i], x["sketch"][j]
+        wide = min(len(j), TILE)
+        step = max(1, TILE // wide)
+        xor, bits = np.empty((step, wide), np.uint64), np.empty((step, wide), np.uint8)
         for a in range(0, len(i), step):
-            left = a if same else 0
-            p, q = np.nonzero(np.bitwise_count(x["sketch"][i[a : a + step], None] ^ theirs[None, left:]) <= limit)
-            if same:
-                p, q = p[q > p], q[q > p]
-            if len(p):
-                yield passed(i[a + p], j[left + q])
+            for b in range(a - a % wide if same else 0, len(j), wide):
+                x_, y_ = ours[a : a + step, None], theirs[None, b : b + wide]
+                differ = bits[: len(x_), : y_.shape[1]]
+                np.bitwise_count(np.bitwise_xor(x_, y_, out=xor[: len(x_), : y_.shape[1]]), out=differ)
+                at = np.flatnonzero(differ <= limit)
+                if not len(at):
+                    continue
+                p, q = np.divmod(at, y_.shape[1])
+                if same:
+                    later = b + q > a + p
+                    p, q = p[later], q[later]
+                if len(p):
+                    yield passed(i[a + p], j[b + q])
 
     # whole with whole: every later one of the run; lacking with whole: the whole run
     sizes = ends - heads
@@ -253,18 +264,22 @@ def _pack(found: dict[str, np.ndarray], parts: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(columns["part"], pa.int32()), *(pa.array(columns[k], pa.binary()) for k in FIELDS)], ["part", *FIELDS])
 
 
-def candidates(sets: DataFrame, dealer: Dealer, parts: int, t: float = T) -> DataFrame:
+def candidates(sets: DataFrame, dealers: dict[int, Dealer], parts: int, t: float = T) -> DataFrame:
     """(name_a, name_b) from (kind int, name long, words array<int>)."""
-    shared = sets.sparkSession.sparkContext.broadcast(dealer)
+    shared = sets.sparkSession.sparkContext.broadcast(dealers)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            sizes = np.asarray(lists.value_lengths())
+            kinds, names, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
+            sizes = np.asarray(lists.value_lengths()).astype(np.int64)
             words = np.asarray(lists.flatten()).view(np.uint32)
-            for found in emit(np.asarray(batch.column(0)), np.asarray(batch.column(1)), words, np.concatenate([[0], np.cumsum(sizes)]), shared.value, t):
-                if (packed := _pack(found, parts)) is not None:
-                    yield packed
+            starts = np.cumsum(sizes) - sizes
+            for kind in np.unique(kinds):  # each table deals its words by its own counts
+                own = np.flatnonzero(kinds == kind)
+                offsets = np.concatenate([[0], np.cumsum(sizes[own])])
+                for found in emit(kinds[own], names[own], words[_take(starts[own], sizes[own])], offsets, shared.value[int(kind)], t):
+                    if (packed := _pack(found, parts)) is not None:
+                        yield packed
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list[np.ndarray]] = {k: [] for k in FIELDS}
@@ -279,54 +294,61 @@ def candidates(sets: DataFrame, dealer: Dealer, parts: int, t: float = T) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["name_a", "name_b"])
 
     keys = sets.select("kind", "name", "words").mapInArrow(send, "part int, " + ", ".join(f"{k} binary" for k in FIELDS))
-    return keys.repartition(parts, "part").mapInArrow(pair, "name_a long, name_b long").distinct()
+    return keys.repartitionById(parts, "part").mapInArrow(pair, "name_a long, name_b long").distinct()
 
 
 def hashed_rows(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(kind, id, name, words array<int>) of the rows (kind, id, text) with enough words."""
     listed = rows.select("kind", "id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("all_words")).filter(F.size("all_words") >= min_words)
     words = F.array_sort(F.array_distinct(F.transform("all_words", lambda w: F.hash(w))))
-    return listed.select("kind", "id", words.alias("words")).withColumn("name", F.xxhash64("words"))
+    return listed.select("kind", "id", words.alias("words")).withColumn("name", F.xxhash64("words", "kind"))
 
 
 def classes(hashed: DataFrame) -> DataFrame:
     """One row per distinct word set and table."""
-    return hashed.groupBy("kind", "name").agg(F.first("words").alias("words"))
+    return hashed.groupBy("name").agg(F.first("kind").alias("kind"), F.first("words").alias("words"))
 
 
-def make_dealer(hashed: DataFrame) -> tuple[Dealer, int]:
-    """Counts of the most frequent words over all rows; at most FREQUENT numbers reach the driver."""
-    rows = hashed.count()
-    top = hashed.select(F.explode("words").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT).collect()
-    return Dealer({r[0] & 0xFFFFFFFF: r[1] for r in top}, rows), rows
+def make_dealers(hashed: DataFrame) -> tuple[dict[int, Dealer], int]:
+    """Counts of the most frequent words of each table over all its rows; at most FREQUENT numbers a table reach the driver."""
+    rows = {r.kind: r["count"] for r in hashed.groupBy("kind").count().collect()}
+    by = Window.partitionBy("kind").orderBy(F.desc("count"), "w")
+    top = hashed.select("kind", F.explode("words").alias("w")).groupBy("kind", "w").count().withColumn("k", F.row_number().over(by)).filter(F.col("k") <= FREQUENT).collect()
+    counts: dict[int, dict[int, int]] = {k: {} for k in rows}
+    for r in top:
+        counts[r.kind][r.w & 0xFFFFFFFF] = r["count"]
+    return {k: Dealer(counts[k], n) for k, n in rows.items()}, sum(rows.values())
 
 
 def alike(sets: DataFrame, pairs: DataFrame, t: float = T) -> DataFrame:
-    """Of the pairs of names those whose word sets share at least a part t of their union."""
-    a = sets.select(F.col("kind"), F.col("name").alias("name_a"), F.col("words").alias("words_a"))
-    b = sets.select(F.col("kind").alias("kind_b"), F.col("name").alias("name_b"), F.col("words").alias("words_b"))
-    both = pairs.join(a, "name_a").join(b, "name_b").filter("kind = kind_b")
+    """Of the pairs of names those whose word sets share at least a part t of their union.
+    A second, independent sketch goes first, so that word sets travel for pairs only that are alike almost surely."""
+    small = sets.select("name", F.size("words").alias("n"), F.expr("aggregate(words, 0L, (acc, w) -> acc ^ shiftleft(1L, cast(pmod(xxhash64(w), 64L) AS int)))").alias("sketch"))
+    a, b = (small.select(F.col("name").alias(f"name_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    near = pairs.join(a, "name_a").join(b, "name_b")
+    near = near.filter(F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= (1 - t) / (1 + t) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("name_a", "name_b")
+    a, b = (sets.select(F.col("name").alias(f"name_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("words_a", "words_b"))
-    return both.filter(shared >= t * (F.size("words_a") + F.size("words_b") - shared) - 1e-9).select("kind", "name_a", "name_b")
+    return near.join(a, "name_a").join(b, "name_b").filter(shared >= t * (F.size("words_a") + F.size("words_b") - shared) - 1e-9).select("name_a", "name_b")
 
 
 def similar_pairs(rows: DataFrame, t: float = T, min_words: int = MIN_WORDS, expand: int = EXPAND) -> DataFrame:
     """(kind, id_a, id_b) with id_a < id_b, from rows (kind int, id long, text string)."""
     hashed = write_out(hashed_rows(rows, min_words))
-    dealer, n = make_dealer(hashed)
+    dealers, n = make_dealers(hashed)
     conf = rows.sparkSession.conf
     parts = max(int(conf.get("spark.sql.shuffle.partitions")), n // 200_000)
     sets = classes(hashed)
-    found = alike(sets, candidates(sets, dealer, parts, t), t)
-    by = Window.partitionBy("kind", "name").orderBy("id")
+    found = alike(sets, candidates(sets, dealers, parts, t), t)
+    by = Window.partitionBy("name").orderBy("id")
     members = hashed.select("kind", "name", "id").withColumn("k", F.dense_rank().over(by)).filter(F.col("k") <= expand).distinct()
     a = members.select("kind", F.col("name").alias("name_a"), F.col("id").alias("x"))
-    b = members.select("kind", F.col("name").alias("name_b"), F.col("id").alias("y"))
-    across = found.join(a, ["kind", "name_a"]).join(b, ["kind", "name_b"]).select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    within = a.join(b.withColumnRenamed("name_b", "name_a"), ["kind", "name_a"]).filter("x < y").select("kind", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    b = members.select(F.col("name").alias("name_b"), F.col("id").alias("y"))
+    across = found.join(a, "name_a").join(b, "name_b").select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    within = a.join(b.withColumnRenamed("name_b", "name_a"), "name_a").filter("x < y").select("kind", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
     # Classes with more ids than are expanded: each further id with the smallest one.
-    large = members.groupBy("kind", "name").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= expand)
-    rest = hashed.select("kind", "name", "id").join(large, ["kind", "name"]).filter("id > last").select("kind", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    large = members.groupBy("name").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= expand).select("name", "rep", "last")
+    rest = hashed.select("kind", "name", "id").join(large, "name").filter("id > last").select("kind", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
     return across.unionByName(within).unionByName(rest).distinct()
 
 
