@@ -227,11 +227,11 @@ def key_label(key: Column) -> Column:
 
 def is_successor(prev: Column, new: Column, gap: int = 2) -> Column:
     """Whether `new` may follow `prev`: its first child, or a later sibling at some depth, at most `gap` further."""
-    child = (F.size(new) == F.size(prev) + 1) & (F.slice(new, 1, F.size(prev)) == prev) & (F.element_at(new, -1) == 1)
+    child = (F.size(new) == F.size(prev) + 1) & (F.slice(new, 1, F.size(prev)) == prev) & (F.try_element_at(new, F.lit(-1)) == 1)
 
     def sibling(d: Column) -> Column:
         same = F.slice(new, 1, d) == F.slice(prev, 1, d)
-        step = F.element_at(new, d + 1) - F.element_at(prev, d + 1)
+        step = F.try_element_at(new, d + 1) - F.try_element_at(prev, d + 1)
         return same & (step >= 1) & (step <= gap)
 
     return child | ((F.size(new) >= 1) & (F.size(new) <= F.size(prev)) & sibling(F.greatest(F.size(new) - 1, F.lit(0))))

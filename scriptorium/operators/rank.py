@@ -53,16 +53,14 @@ def dense_ranking(query_vectors: DataFrame, vectors: DataFrame, k: int = CANDIDA
     p = vectors.select("pos", "vec", F.pmod(F.xxhash64("pos"), F.lit(bp)).cast("int").alias("pp")).withColumn("pq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
 
     def cell(queries: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-        columns = ["qid", "pos", "score"]
         if queries.empty or passages.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame([], columns=["qid", "pos", "score"])
         passages = passages.sort_values("pos", ignore_index=True)
         a, b = np.stack(queries.qvec).astype(np.float64), np.stack(passages.vec).astype(np.float64)
-        pos, out = passages.pos.to_numpy(), []
-        for i, row in zip(queries.qid, a @ b.T):
-            best = np.argsort(-np.round(row, 9), kind="stable")[:k]
-            out.append(pd.DataFrame({"qid": i, "pos": pos[best], "score": row[best]}))
-        return pd.concat(out)
+        scores = a @ b.T
+        best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+        qid = np.repeat(np.array(list(queries.qid), dtype=object), best.shape[1])
+        return pd.DataFrame({"qid": qid, "pos": passages.pos.to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
 
     kind = dict(query_vectors.dtypes)["qid"]
     met = q.groupBy("bq", "bp").cogroup(p.groupBy("pq", "pp")).applyInPandas(cell, f"qid {kind}, pos long, score double")
