@@ -33,6 +33,8 @@ DEPTH = 4
 WINDOW = 1 / 512
 #: Representative lengths (quantiles of the histogram) that combinations are made of.
 BASES = 48
+#: Shares of the solved counts that are tried.
+ROUNDINGS = (1.0, 0.75, 0.5, 0.25, 0.1)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -83,36 +85,52 @@ def combinations_in_window(lengths: np.ndarray, capacity: int, window: int, dept
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(pattern, repeats) with pattern = {length: items of it per container}; uses every item exactly once."""
-    left = {int(k): int(v) for k, v in histogram.items() if v > 0 and k > 0}
-    if any(k > capacity for k in left):
+    """(pattern, repeats) with pattern = {length: items of it per container}; uses every item exactly once.
+
+    The solved counts are rounded at several scales (all of a count, three quarters, ...), the rest is packed greedily, and the
+    plan with the fewest containers is kept: where items over half the capacity abound, full combinations may take the small items those need.
+    """
+    counts = {int(k): int(v) for k, v in histogram.items() if v > 0 and k > 0}
+    if any(k > capacity for k in counts):
         raise ValueError("lengths over the capacity must be cut first")
+    combos = combinations_in_window(np.array(list(counts)), capacity, max(1, int(capacity * WINDOW)), DEPTH)
+    if not combos:
+        return _greedy(dict(counts), capacity)
+    # Lengths are lumped into bins for the least-squares step only; rounding is checked on exact counts.
+    edges = np.unique(np.linspace(0, capacity, 129).astype(int))
+    lump = lambda x: int(np.searchsorted(edges, x, side="left"))
+    a = np.zeros((len(edges), len(combos)))
+    for j, c in enumerate(combos):
+        for x in c:
+            a[lump(x), j] += 1
+    b = np.zeros(len(edges))
+    for x, k in counts.items():
+        b[lump(x)] += k
+    solved = nnls(a, b)
+    plans = [_rounded(dict(counts), capacity, combos, solved * scale) for scale in ROUNDINGS]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _rounded(left: dict[int, int], capacity: int, combos: list[tuple[int, ...]], solved: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    plan = []
+    for j in np.argsort(-solved, kind="stable"):
+        if solved[j] < 1:
+            break
+        pattern: dict[int, int] = {}
+        for x in combos[j]:
+            pattern[x] = pattern.get(x, 0) + 1
+        repeats = min(int(solved[j]), *(left.get(x, 0) // k for x, k in pattern.items()))
+        if repeats > 0:
+            plan.append((pattern, repeats))
+            for x, k in pattern.items():
+                left[x] -= k * repeats
+    return plan + _greedy(left, capacity)
+
+
+def _greedy(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Starts with the largest length left, then always takes the largest that still fits. A pattern is repeated as long as its
+    counts last, so each step uses up a length: at most `capacity` steps, however many items there are."""
     plan: list[tuple[dict[int, int], int]] = []
-    combos = combinations_in_window(np.array(list(left)), capacity, max(1, int(capacity * WINDOW)), DEPTH)
-    if combos:
-        # Lengths are lumped into bins for the least-squares step only; rounding is checked on exact counts.
-        edges = np.unique(np.linspace(0, capacity, 129).astype(int))
-        lump = lambda x: int(np.searchsorted(edges, x, side="left"))
-        a = np.zeros((len(edges), len(combos)))
-        for j, c in enumerate(combos):
-            for x in c:
-                a[lump(x), j] += 1
-        b = np.zeros(len(edges))
-        for x, k in left.items():
-            b[lump(x)] += k
-        for j in np.argsort(-(sol := nnls(a, b))):
-            if sol[j] < 1:
-                break
-            pattern: dict[int, int] = {}
-            for x in combos[j]:
-                pattern[x] = pattern.get(x, 0) + 1
-            repeats = min(int(sol[j]), *(left.get(x, 0) // k for x, k in pattern.items()))
-            if repeats > 0:
-                plan.append((pattern, repeats))
-                for x, k in pattern.items():
-                    left[x] -= k * repeats
-    # Greedy rest: start with the largest length left, then always the largest that still fits. A pattern is
-    # repeated as long as its counts last, so each step uses up a length: at most `capacity` steps.
     rising = sorted(x for x, k in left.items() if k > 0)
     while rising:
         room, pattern, pos = capacity, {}, len(rising)

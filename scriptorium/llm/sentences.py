@@ -46,7 +46,7 @@ ALL_NEVER = frozenset().union(*NEVER.values())
 BEFORE_DIGIT = {"no", "nos", "p", "s", "m", "n", "u", "d", "i", "o", "al", "art", "min", "max", "st", "ch", "me", "fr", "ms", "str", "hr", "gen", "ref", "sec", "para", "abs"}
 SURE = ALL_NEVER - BEFORE_DIGIT
 GERMAN_MONTHS = ("Januar", "Jänner", "Februar", "März", "Marz", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
-GERMAN_DAY = re.compile(r"(?:^|\s)(?:am|vom|bis|zum|den|dem|seit|ab)\s+\d{1,2}$")
+GERMAN_DAY = re.compile(r"(?i)(?:^|\s)(?:am|vom|bis|zum|den|dem|seit|ab)\s+\d{1,2}$")
 LABELS = {"annex", "table", "clause", "appendix", "schedule", "part", "class", "grade", "type", "item", "section", "exhibit", "form", "block", "anlage", "anexo", "annexe", "tabelle"}
 WORD_BEFORE = re.compile(r"[^\s\"“”„«»()\[\]{}‘]+$")
 LIST_HEAD = re.compile(r"\(?(?:\d{1,3}|[A-Za-z]|[ivxlcIVXLC]{1,6})$")
