@@ -25,11 +25,15 @@ def _within_budget(candidates: DataFrame, hits: DataFrame, budget: int, *order:
     return new.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("k") <= budget)
 
 
-def pin(hits: DataFrame, terms: DataFrame, posts: DataFrame, stats: DataFrame, scores: DataFrame, budget: int = MAX_PINNED) -> DataFrame:
-    """Appends passages that hold an identifier of the query which at most RARE_MAX passages have."""
+def rare_holders(terms: DataFrame, posts: DataFrame, stats: DataFrame, scores: DataFrame) -> DataFrame:
+    """(qid, pos, tok, first, score, neg): passages that hold an identifier of the query which at most RARE_MAX passages have."""
     rare = terms.filter(F.col("tok").rlike("[0-9]")).join(stats.filter(F.col("df") <= RARE_MAX).select("tok"), "tok")
     holders = rare.join(posts.select("tok", "pos"), "tok").join(scores, ["qid", "pos"])
-    holders = holders.withColumn("neg", -F.round("score", 9))
+    return holders.withColumn("neg", -F.round("score", 9)).select("qid", "pos", "tok", "first", "score", "neg")
+
+
+def pin(hits: DataFrame, holders: DataFrame, budget: int = MAX_PINNED) -> DataFrame:
+    """Appends holders of rare identifiers: by place of the identifier in the query, then by keyword score."""
     new = _within_budget(holders, hits, budget, "first", "neg", "pos")
     added = new.select("qid", (F.col("k") + 1_000_000).alias("ord"), "pos", "score", F.concat(F.lit("contains '"), F.col("tok"), F.lit("' from the question")).alias("reason"))
     return _numbered(hits.unionByName(added), "ord")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.functions import labels, text as tx
+from scriptorium.runtime import widen
 
 EPSILON = 0.25
 
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
     """(pos, toks, dl) of every passage; its breadcrumb is searched with its text."""
-    toks = tx.search_tokens(labels.index_text())
-    return chunks.select("pos", toks.alias("toks")).withColumn("dl", F.size("toks"))
+    parts = chunks.select("pos", labels.index_text().alias("t"))
+    return widen(parts).select("pos", tx.search_tokens(F.col("t")).alias("toks")).withColumn("dl", F.size("toks"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:

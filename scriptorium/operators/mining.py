@@ -5,31 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.runtime import cut_lineage, widen
 
 NEAR, POOL, TOP_N, LEAK = 0.8, 10, 50, 0.85
 
 
+#: Most differing words that a level finds, each with one segment more.
+LEVELS = (7, 15, 31, 63, 127, 255, 511, 1023)
+
+
 def near_duplicates(questions: DataFrame, t: float = NEAR) -> DataFrame:
     """(i): questions that share at least a part t of their words with an earlier one, kept or not. questions is (i, question).
 
-    Prefix filter: of two sets that alike, the rarest size - ceil(t*size) + 1 words of either have one in common, so
-    the join is on a word and sees few rows; equal sets are compared once. An empty set is like no other.
+    Sets of a and b words that alike differ in at most tau = (1-t)/(1+t) * (a+b) words, so of tau + 1 segments that words are dealt to by
+    hash one is equal: the join is on that segment. A sketch (a bit flipped per word) bounds the difference from below before
+    the words are compared. Equal sets are compared once. An empty set is like no other; the last level grows with the largest set.
     """
-    listed = questions.select("i", F.array_sort(F.array_distinct(tx.words(F.col("question")))).alias("ws")).filter(F.size("ws") > 0)
-    sets = listed.groupBy("ws").agg(F.min("i").alias("i"), F.max("i").alias("last"))
-    df = sets.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rows = sets.select("i", F.size("ws").alias("n"), F.explode("ws").alias("w")).join(df, "w")
-    by = Window.partitionBy("i").orderBy("df", "w")
-    need = F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1
-    keyed = rows.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= need).select("i", "n", "w")
-    a, b = keyed.select("w", F.col("i").alias("i"), F.col("n").alias("n_i")), keyed.select("w", F.col("i").alias("j"), F.col("n").alias("n_j"))
-    close = (F.col("n_i") >= t * F.col("n_j")) & (F.col("n_j") >= t * F.col("n_i"))
-    # Pairs in both orders of first appearance: a later copy of an earlier set may be like a set first seen between them.
-    pairs = a.join(b, "w").filter((F.col("i") != F.col("j")) & close).select("i", "j").distinct()
-    x, y = sets.select(F.col("i"), F.col("ws").alias("wi")), sets.select(F.col("i").alias("j"), F.col("ws").alias("wj"))
+    share = (1 - t) / (1 + t)
+    listed = widen(questions.select("i", "question")).select("i", F.array_sort(F.array_distinct(tx.words(F.col("question")))).alias("ws")).filter(F.size("ws") > 0)
+    sketch = F.expr("aggregate(ws, 0L, (acc, w) -> acc ^ shiftleft(1L, cast(pmod(xxhash64(w), 64L) AS int)))")
+    sets = cut_lineage(listed.groupBy("ws").agg(F.min("i").alias("i")).withColumn("n", F.size("ws")).withColumn("sketch", sketch))
+    widest = max(LEVELS[0], int(share * 2 * (sets.agg(F.max("n")).first()[0] or 0) / t) + 1)
+    levels = [x for x in LEVELS if x < widest] + [min([x for x in LEVELS if x >= widest], default=widest)]
+    keyed = None
+    for low, top in zip([-1, *levels], levels):
+        # A set takes part if some partner of t*n to n/t words puts the pair on this level.
+        part = sets.filter((share * (F.col("n") * (1 + 1 / t)) >= low) & (share * (F.col("n") * (1 + t)) < top + 1))
+        dealt = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda s: F.filter("ws", lambda w: F.pmod(F.hash(w, F.lit(top)), F.lit(top + 1)) == s))
+        rows = part.select("i", "n", "sketch", F.posexplode(dealt).alias("seg", "own")).select("i", "n", "sketch", F.lit(top).alias("top"), F.lit(low).alias("low"), "seg", F.xxhash64("own").alias("key"))
+        keyed = rows if keyed is None else keyed.unionByName(rows)
+    a = keyed
+    b = keyed.select("top", "seg", "key", F.col("i").alias("j"), F.col("n").alias("n_j"), F.col("sketch").alias("sketch_j"))
+    tau = F.floor(share * (F.col("n") + F.col("n_j")) + 1e-9)
+    near = (F.col("i") < F.col("j")) & (tau > F.col("low")) & (tau <= F.col("top")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_j"))) <= tau)
+    pairs = a.join(b, ["top", "seg", "key"]).filter(near).select("i", "j").distinct()
+    x, y = sets.select("i", F.col("ws").alias("wi")), sets.select(F.col("i").alias("j"), F.col("ws").alias("wj"))
     alike = pairs.join(x, "i").join(y, "j").filter(tx.jaccard(F.col("wi"), F.col("wj")) >= t - 1e-9)
+    # i is the earlier of the two first appearances; a repetition of a set comes after its first appearance in any case.
     earliest = alike.groupBy("j").agg(F.min("i").alias("first"))
-    reach = sets.join(earliest, sets["i"] == earliest["j"], "left").select("ws", F.least(F.col("i"), F.coalesce("first", F.col("i"))).alias("first"))
+    reach = sets.select("ws", "i").join(earliest, sets["i"] == earliest["j"], "left").select("ws", F.least(F.col("i"), F.coalesce("first", F.col("i"))).alias("first"))
     return listed.join(reach, "ws").filter("i > first").select("i")
 
 

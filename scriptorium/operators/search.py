@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -49,6 +50,11 @@ class Ranked:
         # Lists are k rows per query; each is read many times from here on.
         return cls(corpus, queries, terms, scores, cut_lineage(rank.bm25_ranking(scores, k)), cut_lineage(rank.dense_ranking(query_vectors, corpus.vectors, k)))
 
+    @cached_property
+    def holders(self) -> DataFrame:
+        """Candidates for pinning, a few rows per query, computed once."""
+        return cut_lineage(expand.rare_holders(self.terms, self.corpus.posts, self.corpus.stats, self.scores))
+
     def list_of(self, mode: str) -> DataFrame:
         """(qid, pos, score, bm25_rank, dense_rank, rank) of one mode."""
         if mode not in MODES:
@@ -67,7 +73,7 @@ class Ranked:
         out = self.list_of(mode).filter(F.col("rank") <= top_k).select("qid", F.col("rank").alias("ord"), "pos", "score", F.lit("").alias("reason"))
         c, out = self.corpus, cut_lineage(out)
         if pin:
-            out = cut_lineage(expand.pin(out, self.terms, c.posts, c.stats, self.scores))
+            out = cut_lineage(expand.pin(out, self.holders))
         if siblings:
             out = cut_lineage(expand.attach_siblings(out, c.chunks))
         if amendments:

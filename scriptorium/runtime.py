@@ -52,10 +52,10 @@ def write_out(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Even out rows over the session's shuffle partitions before CPU-heavy Python work."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+def widen(df: DataFrame) -> DataFrame:
+    """Spreads a small input that comes in fewer partitions than there are cores; anything larger stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 _shipped: set[str] = set()
