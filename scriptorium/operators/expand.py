@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scriptorium.operators import rank
+from scriptorium.runtime import cut_lineage
+
 MAX_PINNED, RARE_MAX = 2, 3
 MAX_SIBLINGS, MAX_AMENDMENTS = 3, 4
 
@@ -25,11 +28,12 @@ def _within_budget(candidates: DataFrame, hits: DataFrame, budget: int, *order:
     return new.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("k") <= budget)
 
 
-def rare_holders(terms: DataFrame, posts: DataFrame, stats: DataFrame, scores: DataFrame) -> DataFrame:
+def rare_holders(terms: DataFrame, posts: DataFrame, stats: DataFrame, avgdl: float) -> DataFrame:
     """(qid, pos, tok, first, score, neg): passages that hold an identifier of the query which at most RARE_MAX passages have."""
     rare = terms.filter(F.col("tok").rlike("[0-9]")).join(stats.filter(F.col("df") <= RARE_MAX).select("tok"), "tok")
-    holders = rare.join(posts.select("tok", "pos"), "tok").join(scores, ["qid", "pos"])
-    return holders.withColumn("neg", -F.round("score", 9)).select("qid", "pos", "tok", "first", "score", "neg")
+    holders = cut_lineage(rare.join(posts.select("tok", "pos"), "tok").select("qid", "pos", "tok", "first"))
+    scored = holders.join(rank.bm25_scores_of(holders, terms, posts, stats, avgdl), ["qid", "pos"])
+    return scored.withColumn("neg", -F.round("score", 9)).select("qid", "pos", "tok", "first", "score", "neg")
 
 
 def pin(hits: DataFrame, holders: DataFrame, budget: int = MAX_PINNED) -> DataFrame:

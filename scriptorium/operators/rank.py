@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.runtime import cut_lineage
 
 K1, B = 1.5, 0.75
 RRF_K, CANDIDATES = 60, 30
 #: Vectors per block of the query by passage grid.
-QUERY_BLOCK, PASSAGE_BLOCK = 2048, 16384
+QUERY_BLOCK, PASSAGE_BLOCK, POSTING_BLOCK = 2048, 16384, 8192
+#: Scores held at once in a cell.
+CELLS = 1 << 22
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -23,11 +26,65 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return toks.groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"), F.min("at").alias("first"))
 
 
-def bm25_scores(terms: DataFrame, posts: DataFrame, stats: DataFrame, avgdl: float) -> DataFrame:
-    """(qid, pos, score) of every passage that shares a token with the query; a token counts as often as the query has it."""
-    weighted = terms.join(stats, "tok").select("qid", "tok", (F.col("qtf") * F.col("idf")).alias("w"))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return weighted.join(posts, "tok").groupBy("qid", "pos").agg(F.sum(part).alias("score"))
+def weighted_terms(terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """(qid, tok, w): a token counts as often as the query has it."""
+    return terms.join(stats, "tok").select("qid", "tok", (F.col("qtf") * F.col("idf")).alias("w"))
+
+
+def saturation(avgdl: float):
+    """What a posting is worth before the weight of its token."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+
+
+def bm25_scores_of(pairs: DataFrame, terms: DataFrame, posts: DataFrame, stats: DataFrame, avgdl: float) -> DataFrame:
+    """(qid, pos, score) of given pairs (qid, pos) only."""
+    rows = pairs.select("qid", "pos").distinct().join(posts, "pos").join(weighted_terms(terms, stats), ["qid", "tok"])
+    return rows.groupBy("qid", "pos").agg(F.sum(F.col("w") * saturation(avgdl)).alias("score"))
+
+
+def bm25_ranking(terms: DataFrame, posts: DataFrame, stats: DataFrame, n: int, avgdl: float, k: int = CANDIDATES, query_block: int = QUERY_BLOCK, passage_block: int = POSTING_BLOCK) -> DataFrame:
+    """(qid, pos, score, rank): the best k passages of each query among those with a score above 0.
+
+    The index is cut by passage: a cell of the grid of query blocks by passage blocks adds up the scores of its passages and
+    keeps k per query, so neither all scores nor all matches are ever shuffled, however common a token is.
+    """
+    spark = posts.sparkSession
+    weights = cut_lineage(weighted_terms(terms, stats).select("qid", F.xxhash64("tok").alias("token"), "w"))
+    queries = weights.agg(F.count_distinct("qid")).first()[0]
+    bq = max(1, -(-queries // query_block))
+    bp = max(1, -(-n // passage_block), min(spark.sparkContext.defaultParallelism, -(-n // 256)))
+    q = weights.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int")).withColumn("bp", F.explode(F.sequence(F.lit(0), F.lit(bp - 1))))
+    p = posts.select("pos", F.xxhash64("tok").alias("term"), saturation(avgdl).alias("sat"), F.pmod(F.xxhash64("pos"), F.lit(bp)).cast("int").alias("pp")).withColumn("pq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame([], columns=["qid", "pos", "score"])
+        names, qi = np.unique(left.qid.to_numpy(object), return_inverse=True)
+        places, pi = np.unique(right.pos.to_numpy(), return_inverse=True)
+        order = np.argsort(right.term.to_numpy(), kind="stable")
+        term, pi, sat = right.term.to_numpy()[order], pi[order], right.sat.to_numpy()[order]
+        token, w = left.token.to_numpy(), left.w.to_numpy()
+        first = np.searchsorted(term, token, side="left")
+        many = np.searchsorted(term, token, side="right") - first
+        by = np.argsort(qi, kind="stable")
+        qi, w, first, many = qi[by], w[by], first[by], many[by]
+        out, step = [], max(1, CELLS // max(1, len(places)))
+        for low in range(0, len(names), step):
+            a, b = np.searchsorted(qi, [low, low + step])
+            at = np.repeat(first[a:b] - (np.cumsum(many[a:b]) - many[a:b]), many[a:b]) + np.arange(int(many[a:b].sum()))
+            high = min(step, len(names) - low)
+            flat = np.repeat(qi[a:b] - low, many[a:b]) * len(places) + pi[at]
+            scores = np.bincount(flat, np.repeat(w[a:b], many[a:b]) * sat[at], high * len(places)).reshape(high, len(places))
+            scores[scores <= 0] = -np.inf
+            best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+            top = np.take_along_axis(scores, best, axis=1)
+            row, col = np.nonzero(np.isfinite(top))
+            out.append((names[low + row], places[best[row, col]], top[row, col]))
+        return pd.DataFrame({"qid": np.concatenate([x for x, _, _ in out]), "pos": np.concatenate([x for _, x, _ in out]), "score": np.concatenate([x for _, _, x in out])})
+
+    kind = dict(terms.dtypes)["qid"]
+    met = q.groupBy("bq", "bp").cogroup(p.groupBy("pq", "pp")).applyInPandas(cell, f"qid {kind}, pos long, score double")
+    return ranked(met, k)
 
 
 def ranked(scores: DataFrame, k: int | None) -> DataFrame:
@@ -37,10 +94,6 @@ def ranked(scores: DataFrame, k: int | None) -> DataFrame:
     return out.filter(F.col("rank") <= k) if k else out
 
 
-def bm25_ranking(scores: DataFrame, k: int | None = CANDIDATES) -> DataFrame:
-    return ranked(scores.filter(F.col("score") > 0), k)
-
-
 def dense_ranking(query_vectors: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_block: int = QUERY_BLOCK, passage_block: int = PASSAGE_BLOCK) -> DataFrame:
     """(qid, pos, score, rank) by dot product of (qid, vec) with (pos, vec).
 

@@ -22,6 +22,7 @@ class Corpus:
     vectors: DataFrame
     posts: DataFrame
     stats: DataFrame
+    n: int
     avgdl: float
 
     @classmethod
@@ -29,7 +30,7 @@ class Corpus:
         tokens = index.with_tokens(chunks)
         n, avgdl = index.totals(tokens)
         posts = cut_lineage(index.postings(tokens))  # the index is read several times
-        return cls(chunks, vectors, posts, index.term_stats(posts, n), avgdl)
+        return cls(chunks, vectors, posts, cut_lineage(index.term_stats(posts, n)), n, avgdl)
 
 
 @dataclass
@@ -39,21 +40,20 @@ class Ranked:
     corpus: Corpus
     queries: DataFrame
     terms: DataFrame
-    scores: DataFrame
     bm25: DataFrame
     dense: DataFrame
 
     @classmethod
     def of(cls, corpus: Corpus, queries: DataFrame, query_vectors: DataFrame, k: int = rank.CANDIDATES) -> Ranked:
-        terms = rank.query_terms(queries)
-        scores = rank.bm25_scores(terms, corpus.posts, corpus.stats, corpus.avgdl)
+        terms = cut_lineage(rank.query_terms(queries))
+        bm25 = rank.bm25_ranking(terms, corpus.posts, corpus.stats, corpus.n, corpus.avgdl, k)
         # Lists are k rows per query; each is read many times from here on.
-        return cls(corpus, queries, terms, scores, cut_lineage(rank.bm25_ranking(scores, k)), cut_lineage(rank.dense_ranking(query_vectors, corpus.vectors, k)))
+        return cls(corpus, queries, terms, cut_lineage(bm25), cut_lineage(rank.dense_ranking(query_vectors, corpus.vectors, k)))
 
     @cached_property
     def holders(self) -> DataFrame:
         """Candidates for pinning, a few rows per query, computed once."""
-        return cut_lineage(expand.rare_holders(self.terms, self.corpus.posts, self.corpus.stats, self.scores))
+        return cut_lineage(expand.rare_holders(self.terms, self.corpus.posts, self.corpus.stats, self.corpus.avgdl))
 
     def list_of(self, mode: str) -> DataFrame:
         """(qid, pos, score, bm25_rank, dense_rank, rank) of one mode."""

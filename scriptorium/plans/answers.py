@@ -88,9 +88,8 @@ def _val_search(spark, sf_dir, k):
     """Keyword lists of validation questions and their own passage."""
     c = rt.corpus_of(spark, sf_dir)
     val = read_table(spark, sf_dir, "val").select(F.col("val_id").alias("qid"), F.col("query").alias("question"), "chunk_id").filter("question IS NOT NULL")
-    scores = rank.bm25_scores(rank.query_terms(val), c.posts, c.stats, c.avgdl)
     positives = val.join(c.chunks.select("pos", "chunk_id"), "chunk_id").select("qid", "pos")
-    return c, val, cut_lineage(rank.bm25_ranking(scores, k)), positives
+    return c, val, cut_lineage(rank.bm25_ranking(rank.query_terms(val), c.posts, c.stats, c.n, c.avgdl, k)), positives
 
 
 def hard_negatives(spark, sf_dir):

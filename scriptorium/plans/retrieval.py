@@ -52,7 +52,7 @@ def _listed(df: DataFrame) -> DataFrame:
 
 def bm25_topk(spark, sf_dir):
     c, queries = corpus_of(spark, sf_dir), queries_of(spark, sf_dir)
-    return _listed(rank.bm25_ranking(rank.bm25_scores(rank.query_terms(queries), c.posts, c.stats, c.avgdl)))
+    return _listed(rank.bm25_ranking(rank.query_terms(queries), c.posts, c.stats, c.n, c.avgdl))
 
 
 def dense_topk(spark, sf_dir):
