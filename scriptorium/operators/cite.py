@@ -9,19 +9,26 @@ from scriptorium.functions import text as tx
 LEAST_WORDS = 6
 
 
+def numbers_of_sources(sources: Column) -> Column:
+    """For each source the numbers that it holds."""
+    return F.transform(sources, lambda s: tx.numbers_in(tx.without_markers(s)))
+
+
 def check_citations(answers: DataFrame) -> DataFrame:
     """(aid, cited, invalid, uncited_sentences, ungrounded, ok) from (aid, answer, question, sources array<string>); sources[0] is [S1].
 
     An answer that opens with the not-found phrase has an empty report. A sentence without any marker and of LEAST_WORDS words or more
     is uncited. A number of a cited sentence is ungrounded if neither the sources cited there nor the question hold it.
-    Null sources mean that numbers aren't checked.
+    Null sources mean that numbers aren't checked. Where many answers share sources, a column `numbers` (numbers_of_sources) saves finding them again.
     """
     used = tx.source_numbers(F.col("answer"))
     count = F.coalesce(F.size("sources"), F.lit(0))
     refused = F.startswith(F.trim("answer"), F.lit(tx.NOT_FOUND))
     none, texts = F.array().cast("array<int>"), F.array().cast("array<string>")
     df = answers.withColumn("used", F.array_sort(F.array_distinct(used))).withColumn("count", count)
-    df = df.withColumn("numbers", F.transform("sources", lambda s: tx.numbers_in(tx.without_markers(s)))).withColumn("allowed", tx.numbers_in(F.coalesce(F.col("question"), F.lit(""))))
+    if "numbers" not in answers.columns:
+        df = df.withColumn("numbers", numbers_of_sources(F.col("sources")))
+    df = df.withColumn("allowed", tx.numbers_in(F.coalesce(F.col("question"), F.lit(""))))
     df = df.withColumn("sentences", F.transform(tx.answer_sentences(F.col("answer")), lambda s: F.regexp_replace(s, r"^[ \-*•\t]+|[ \-*•\t]+$", "")))
 
     def grounded(s: Column) -> Column:
@@ -40,7 +47,7 @@ def check_citations(answers: DataFrame) -> DataFrame:
 
 
 def warnings(reports: DataFrame) -> DataFrame:
-    """(aid, warnings) in fixed order, from reports joined with (low_confidence, best_cosine)."""
+    """(aid, warnings) in fixed order and wording (fixed values), from reports joined with (low_confidence, best_cosine)."""
     numbers = F.array_join(F.array_distinct(F.transform("ungrounded", lambda x: x["number"])), ", ")
     names = F.array_join(F.transform("invalid", lambda n: F.concat(F.lit("S"), n.cast("string"))), ", ")
     each = F.array(

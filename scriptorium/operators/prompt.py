@@ -32,7 +32,7 @@ def _refs(numbers):
 
 
 def source_blocks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(qid, ord, chunk_id, block): each source as a model sees it, amendments written above what they change."""
+    """(qid, ord, chunk_id, block): each source as a model sees it, amendments written above what they change. The headings are fixed values."""
     s = numbered(hits, chunks)
     links = amendment_links(s)
     texts = links.join(s.select("qid", F.col("ord").alias("amendment"), F.col("text").alias("change")), ["qid", "amendment"])

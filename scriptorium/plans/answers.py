@@ -59,8 +59,9 @@ def citation_report(spark, sf_dir):
     r = rt.ranked_of(spark, sf_dir)
     blocks = prompt.source_blocks(r.hits(), r.corpus.chunks)
     sources = blocks.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block"))), lambda x: x["block"]).alias("sources"))
+    sources = cut_lineage(sources.withColumn("numbers", cite.numbers_of_sources(F.col("sources"))))
     rows = _results(spark, sf_dir, "id", "answer", "question").filter("answer IS NOT NULL").join(sources, F.col("id") == F.col("qid"), "left")
-    rep = cite.check_citations(rows.select(F.col("result_id").alias("aid"), "answer", "question", "sources"))
+    rep = cite.check_citations(rows.select(F.col("result_id").alias("aid"), "answer", "question", "sources", "numbers"))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return rep.select("aid", join("cited").alias("cited"), join("invalid").alias("invalid"), F.size("uncited_sentences").alias("uncited"), F.array_join(F.transform("ungrounded", lambda x: x["number"]), ",").alias("ungrounded"), "ok")
 

@@ -19,16 +19,22 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
-    chunks = chunks_of(spark, sf_dir)
-    vectors = read_table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("pos"), F.col("embedding").alias("vec")).join(chunks.select("pos"), "pos", "left_semi")
-    return Corpus.build(chunks, vectors)
+    return Corpus.build(chunks_of(spark, sf_dir), vectors_of(spark, sf_dir))
 
 
-def ranked_of(spark: SparkSession, sf_dir: str, k: int = rank.CANDIDATES) -> Ranked:
-    queries = queries_of(spark, sf_dir)
+def query_vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    query_vectors = queries.select("qid", F.regexp_extract("qid", r"(\d+)$", 1).cast("long").alias("vec_id")).join(vec, "vec_id").select("qid", "vec")
-    return Ranked.of(corpus_of(spark, sf_dir), queries, query_vectors, k)
+    return queries_of(spark, sf_dir).select("qid", F.regexp_extract("qid", r"(\d+)$", 1).cast("long").alias("vec_id")).join(vec, "vec_id").select("qid", "vec")
+
+
+def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, vec) of the passages that have a vector."""
+    vectors = read_table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("pos"), F.col("embedding").alias("vec"))
+    return vectors.join(chunks_of(spark, sf_dir).select("pos"), "pos", "left_semi")
+
+
+def ranked_of(spark: SparkSession, sf_dir: str, k: int = rank.CANDIDATES) -> Ranked:
+    return Ranked.of(corpus_of(spark, sf_dir), queries_of(spark, sf_dir), query_vectors_of(spark, sf_dir), k)
 
 
 def evidence_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +62,15 @@ def bm25_topk(spark, sf_dir):
 
 
 def dense_topk(spark, sf_dir):
-    return _listed(ranked_of(spark, sf_dir).dense)
+    return _listed(rank.dense_ranking(query_vectors_of(spark, sf_dir), vectors_of(spark, sf_dir)))
+
+
+def _best(spark, sf_dir) -> DataFrame:
+    return rank.best_cosine(queries_of(spark, sf_dir), rank.dense_ranking(query_vectors_of(spark, sf_dir), vectors_of(spark, sf_dir)))
 
 
 def best_cosine(spark, sf_dir):
-    r = ranked_of(spark, sf_dir)
-    return rank.best_cosine(r.queries, r.dense).select("qid", F.round("best_cosine", 6).alias("best_cosine"), "low_confidence")
+    return _best(spark, sf_dir).select("qid", F.round("best_cosine", 6).alias("best_cosine"), "low_confidence")
 
 
 def rrf_hybrid(spark, sf_dir):
@@ -151,17 +160,15 @@ def context_ablation(spark, sf_dir):
 
 
 def threshold_calibration(spark, sf_dir):
-    r = ranked_of(spark, sf_dir)
     kinds = read_table(spark, sf_dir, "gold").select(F.col("id").alias("qid"), (F.col("question_type") != "unanswerable").alias("answerable"))
-    scores = rank.best_cosine(r.queries, r.dense).join(kinds, "qid").select(F.round("best_cosine", 4).alias("score"), "answerable")
+    scores = _best(spark, sf_dir).join(kinds, "qid").select(F.round("best_cosine", 4).alias("score"), "answerable")
     return evaluate.best_threshold(scores)
 
 
 def score_summary(spark, sf_dir):
     """Least, upper median and greatest best cosine of answerable and unanswerable questions."""
-    r = ranked_of(spark, sf_dir)
     kinds = read_table(spark, sf_dir, "gold").select(F.col("id").alias("qid"), (F.col("question_type") != "unanswerable").alias("answerable"))
-    rows = rank.best_cosine(r.queries, r.dense).join(kinds, "qid").select("answerable", F.round("best_cosine", 6).alias("s"))
+    rows = _best(spark, sf_dir).join(kinds, "qid").select("answerable", F.round("best_cosine", 6).alias("s"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("answerable").orderBy("s")
