@@ -2,8 +2,9 @@
 
 Records and the entities they name (section of a document, agreement) form a bipartite graph. Every entity
 starts with the smallest record that names it; labels then travel over the records that name several entities,
-the only ones that join anything, until none changes. Each round also follows a label to the label of its own
-entity, so a chain of n entities settles in about log n rounds, and is cut off from its lineage by a checkpoint.
+the only ones that join anything, until none changes. Each round also takes what an entity meets to the entity whose
+label it had, and follows a label to the label of its own entity, so chains settle in few rounds however they are
+numbered, and is cut off from its lineage by a checkpoint.
 Records that name one entity never enter the loop, however hot the entity: they are aggregated once, map-side first.
 
 Splits: groups of at least 1/LARGE of all rows (there are at most LARGE of them) go one by one to the split
@@ -56,33 +57,39 @@ def edges(rows: DataFrame) -> DataFrame:
     return rows.select("record_id", F.array_distinct(named).alias("entities")).filter("record_id IS NOT NULL")
 
 
-def group_labels(rows: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(record_id, group_id, last_id): smallest and largest record of each record's group."""
+def group_labels(rows: DataFrame) -> DataFrame:
+    """(record_id, group_id): the smallest record of each record's group."""
     named = edges(rows)
     flat = named.select("record_id", F.explode("entities").alias("entity"))
-    ends = flat.groupBy("entity").agg(F.min("record_id").alias("low"), F.max("record_id").alias("high"))
-    joins = cut_lineage(named.filter(F.size("entities") > 1).select("record_id", F.explode("entities").alias("entity")).distinct())
-    state = cut_lineage(joins.select("entity").distinct().join(ends, "entity").select("entity", F.col("low").alias("own"), "low", "high"))
-    for _ in range(most_rounds):
-        via = joins.join(state, "entity").groupBy("record_id").agg(F.min("low").alias("l"), F.max("high").alias("h"))
-        near = joins.join(via, "record_id").groupBy("entity").agg(F.min("l").alias("l"), F.max("h").alias("h"))
-        step = state.join(near, "entity").select("entity", "own", F.col("low").alias("was"), F.col("high").alias("was_high"), F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high"))
-        roots = step.groupBy(F.col("own").alias("root")).agg(F.min("low").alias("root_low"))
-        after = step.join(roots, step["low"] == roots["root"], "left").select("entity", "own", "was", "was_high", F.least("low", F.coalesce("root_low", "low")).alias("low"), "high")
-        after = cut_lineage(after)
-        changed = after.filter("low < was OR high > was_high").limit(1).count()
-        state = after.select("entity", "own", "low", "high")
+    ends = cut_lineage(flat.groupBy("entity").agg(F.min("record_id").alias("own")))
+    several = named.filter(F.size("entities") > 1).select("record_id", F.explode("entities").alias("entity"))
+    joins = cut_lineage(several.join(ends, "entity").select("record_id", "own").distinct())
+    state = cut_lineage(joins.groupBy("own").agg(F.min("own").alias("low")))
+    while True:  # labels only fall, and only to records of the same group, so this ends
+        via = joins.join(state, "own").groupBy("record_id").agg(F.min("low").alias("l"))
+        near = joins.join(via, "record_id").groupBy("own").agg(F.min("l").alias("l"))
+        step = state.join(near, "own").select("own", F.col("low").alias("was"), F.least("low", "l").alias("low"))
+        roots = step.select(F.explode(F.array_distinct(F.array("own", "was"))).alias("root"), "low").groupBy("root").agg(F.min("low").alias("root_low"))
+        met = step.join(roots, step["own"] == roots["root"], "left").select("own", "was", F.least("low", F.coalesce("root_low", "low")).alias("low"))
+        roots = met.select(F.col("own").alias("root"), F.col("low").alias("root_low"))
+        after = cut_lineage(met.join(roots, met["low"] == roots["root"], "left").select("own", "was", F.least("low", F.coalesce("root_low", "low")).alias("low")))
+        changed = after.filter("low < was").limit(1).count()
+        state = after.select("own", "low")
         if not changed:
             break
-    else:
-        raise RuntimeError(f"labels still change after {most_rounds} rounds")
-    settled = ends.join(state.select("entity", F.col("low").alias("l"), F.col("high").alias("h")), "entity", "left").select("entity", F.coalesce("l", "low").alias("low"), F.coalesce("h", "high").alias("high"))
+    settled = ends.join(state, "own", "left").select("entity", F.coalesce("low", "own").alias("low"))
     return (
         named.select("record_id", F.explode_outer("entities").alias("entity")).join(settled, "entity", "left")
-        .groupBy("record_id").agg(F.coalesce(F.min("low"), F.first("record_id")).alias("group_id"), F.coalesce(F.max("high"), F.first("record_id")).alias("last_id"))
+        .groupBy("record_id").agg(F.coalesce(F.min("low"), F.first("record_id")).alias("group_id"))
     )
 
 
+def groups_of_two(labels: DataFrame) -> DataFrame:
+    """(group_id, record_id) of the groups of two or more: the records that aren't the smallest of their group, and the smallest of theirs."""
+    more = cut_lineage(labels.filter("record_id > group_id").select("group_id", "record_id"))
+    return more.unionByName(more.select("group_id", F.col("group_id").alias("record_id")).distinct())
+
+
 def deal(totals: dict[str, dict[str, int]], taken: dict[tuple[str, str], int], rows: dict[str, int]) -> str:
     """The split that lacks most of the given rows per stratum."""
 
@@ -127,14 +134,14 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of groups of two or more."""
-    return group_labels(_records(spark, sf_dir)).filter("last_id > group_id").select("group_id", "record_id")
+    return groups_of_two(group_labels(_records(spark, sf_dir)))
 
 
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with its split; the strata are the documents of chunk_id."""
     rows = _records(spark, sf_dir)
     strata = rows.groupBy("record_id").agg(F.min(F.lower(F.regexp_extract("chunk_id", "([A-Za-z]+)", 1))).alias("stratum"))
-    return assign(group_labels(rows).select("record_id", "group_id").join(strata, "record_id"))
+    return assign(group_labels(rows).join(strata, "record_id"))
 
 
 def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:

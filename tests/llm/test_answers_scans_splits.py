@@ -134,6 +134,21 @@ def test_long_chain(spark):
     assert [r.group_id for r in got] == [1]
 
 
+def test_very_long_chains(spark):
+    n = 400
+    places = list(range(1, n + 1))
+    turned = sorted(places, key=lambda i: (i != n, abs(i - n // 2)))  # the smallest number stands at the end, the next ones in the middle
+    shuffled = random.Random(5).sample(places, n)
+    rows = []
+    for k, order in enumerate((places, turned, shuffled)):
+        number = {place: 1000 * (k + 1) + at for at, place in enumerate(order)}
+        rows += [(number[i], None, f"agreement A{'ABC'[k]}/{i}/10 and agreement A{'ABC'[k]}/{i + 1}/10") for i in places]
+    df = spark.createDataFrame([*rows, (1, "gcw:alone:1", None), (2, None, None)], "record_id long, chunk_id string, query string")
+    got = {(r.group_id, r.record_id) for r in splits.group_labels(df).collect()}
+    assert got == {(r[0] // 1000 * 1000, r[0]) for r in rows} | {(1, 1), (2, 2)}
+    assert {(r.group_id, r.record_id) for r in splits.groups_of_two(splits.group_labels(df)).collect()} == {(r[0] // 1000 * 1000, r[0]) for r in rows}
+
+
 def test_splits_keep_groups_and_proportions(spark):
     rng = random.Random(1)
     rows = [(i, rng.randint(0, 700) if i > 200 else 5000 + i // 100, rng.choice("abc")) for i in range(4000)]
