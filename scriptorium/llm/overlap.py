@@ -9,8 +9,9 @@ SPAN tokens reveal a shared span. The spans of a pair are merged into its covera
 Why SPAN = 3 loses nothing: alike sets with o common words differ in H <= (1-T)/T * o words. Those break the o + 2
 common tokens (marks included) into at most H + 1 runs, the longest of at least (o+2)/(H+1) > 2 tokens for T = 0.7.
 
-Copies: equal word sets of one side are one sequence. In the result the first EXPAND ids of a class stand in all
-combinations; a further evaluation id is linked to the smallest training id of each class, and the other way round.
+Copies: equal word sets of one side are one sequence. p6_found gives all their ids in all combinations, p6_report counts
+them by classes. `overlaps` with a bound gives the first `expand` ids of a class in all combinations; a further evaluation
+id is then linked to the smallest training id of each class, and the other way round.
 
 Defined results: texts that are null or have fewer than MIN_WORDS words overlap with nothing; repeated rows count once.
 """
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.llm.similar import BLOCK, EXPAND, MIN_WORDS, T, _take, hashed_rows, mix, tau
 from scriptorium.runtime import read_table
@@ -107,8 +108,8 @@ def covered(sets: DataFrame, parts: int, t: float = T) -> DataFrame:
     return met.groupBy("eval_name", "train_name").agg(F.sum("runs").alias("runs"))
 
 
-def overlaps(train: DataFrame, evaluation: DataFrame, t: float = T, min_words: int = MIN_WORDS, expand: int = EXPAND) -> DataFrame:
-    """(kind, eval_id, train_id) of alike rows; train (id long, text), evaluation (kind int > 0, id string, text)."""
+def alike(train: DataFrame, evaluation: DataFrame, t: float = T, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(eval_name, train_name) of alike classes, and who is in them: (eval_name, kind, eval_id), (train_name, train_id)."""
     spark = train.sparkSession
     rows = train.select(F.lit(0).alias("kind"), F.col("id").cast("string").alias("id"), "text").unionByName(evaluation.select("kind", "id", "text"))
     hashed = hashed_rows(rows, min_words).withColumn("side", (F.col("kind") > 0).cast("int")).withColumn("name", F.xxhash64("words"))
@@ -120,6 +121,14 @@ def overlaps(train: DataFrame, evaluation: DataFrame, t: float = T, min_words: i
     same = found.join(a, "eval_name").join(b, "train_name").filter(shared >= t * (F.size("words_a") + F.size("words_b") - shared) - 1e-9).select("eval_name", "train_name")
     of_eval = hashed.filter("side = 1").select(F.col("name").alias("eval_name"), "kind", F.col("id").alias("eval_id"))
     of_train = hashed.filter("side = 0").select(F.col("name").alias("train_name"), F.col("id").cast("long").alias("train_id"))
+    return same, of_eval, of_train
+
+
+def overlaps(train: DataFrame, evaluation: DataFrame, t: float = T, min_words: int = MIN_WORDS, expand: int | None = EXPAND) -> DataFrame:
+    """(kind, eval_id, train_id) of alike rows; train (id long, text), evaluation (kind int > 0, id string, text). All of them if expand is None."""
+    same, of_eval, of_train = alike(train, evaluation, t, min_words)
+    if expand is None:
+        return same.join(of_eval.distinct(), "eval_name").join(of_train.distinct(), "train_name").select("kind", "eval_id", "train_id").distinct()
     few_eval = of_eval.withColumn("k", F.dense_rank().over(Window.partitionBy("eval_name").orderBy("kind", "eval_id"))).filter(F.col("k") <= expand).distinct()
     few_train = of_train.withColumn("k", F.dense_rank().over(Window.partitionBy("train_name").orderBy("train_id"))).filter(F.col("k") <= expand).distinct()
     full = same.join(few_eval.drop("k"), "eval_name").join(few_train.drop("k"), "train_name").select("kind", "eval_id", "train_id")
@@ -134,24 +143,40 @@ def overlaps(train: DataFrame, evaluation: DataFrame, t: float = T, min_words: i
     return full.unionByName(rest).distinct()
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overlap_counts(train: DataFrame, evaluation: DataFrame, t: float = T, min_words: int = MIN_WORDS) -> DataFrame:
+    """(kind, eval_id, n): how many training ids are alike, for each evaluation id with any, without writing down the pairs.
+
+    Ids with the same sets of words, mostly one set an id, are counted as one class, so an id with several texts counts once.
+    """
+    same, of_eval, of_train = alike(train, evaluation, t, min_words)
+    evals = of_eval.groupBy("kind", "eval_id").agg(F.array_sort(F.collect_set("eval_name")).alias("eval_names"))
+    trains = of_train.groupBy("train_id").agg(F.array_sort(F.collect_set("train_name")).alias("train_names")).groupBy("train_names").agg(F.count(F.lit(1)).alias("ids"))
+    some = evals.select("eval_names").distinct().select("eval_names", F.explode("eval_names").alias("eval_name"))
+    met = same.join(some, "eval_name").join(trains.withColumn("train_name", F.explode("train_names")), "train_name").select("eval_names", "train_names", "ids").distinct()
+    return evals.join(met.groupBy("eval_names").agg(F.sum("ids").alias("n")), "eval_names").select("kind", "eval_id", "n")
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     train = read_table(spark, sf_dir, "pairs").select(F.col("pair_id").alias("id"), F.col("query").alias("text"))
     val = read_table(spark, sf_dir, "val").select(F.lit(1).alias("kind"), F.col("val_id").cast("string").alias("id"), F.col("query").alias("text"))
     gold = read_table(spark, sf_dir, "gold").select(F.lit(2).alias("kind"), "id", F.col("question").alias("text"))
-    table = F.when(F.col("kind") == 1, "val").otherwise("gold")
-    return overlaps(train, val.unionByName(gold)).select(table.alias("eval_table"), "eval_id", F.col("train_id").alias("pair_id"))
+    return train, val.unionByName(gold)
+
+
+def _table() -> Column:
+    return F.when(F.col("kind") == 1, "val").otherwise("gold").alias("eval_table")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation rows and the training rows like them."""
-    return _found(spark, sf_dir)
+    """Evaluation rows and the training rows like them, all of them."""
+    return overlaps(*_sides(spark, sf_dir), expand=None).select(_table(), "eval_id", F.col("train_id").alias("pair_id"))
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation table and document: rows, rows that overlap with training, and overlaps."""
     val = read_table(spark, sf_dir, "val").select(F.lit("val").alias("eval_table"), F.col("val_id").cast("string").alias("eval_id"), F.lower(F.regexp_extract("chunk_id", "([A-Za-z]+)", 1)).alias("doc"))
     gold = read_table(spark, sf_dir, "gold").select(F.lit("gold").alias("eval_table"), F.col("id").alias("eval_id"), "doc")
-    hits = _found(spark, sf_dir).groupBy("eval_table", "eval_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = overlap_counts(*_sides(spark, sf_dir)).select(_table(), "eval_id", "n")
     rows = val.unionByName(gold).distinct().join(hits, ["eval_table", "eval_id"], "left")
     return rows.groupBy("eval_table", "doc").agg(F.count(F.lit(1)).alias("rows"), F.count("n").alias("overlapping_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("overlaps"))
 

@@ -95,6 +95,19 @@ def test_overlap_copies_stay_linked(spark):
     assert {i for i, _ in got} == {f"{i:02}" for i in range(20)} and {j for _, j in got} == set(range(30)) and len(got) < 70
 
 
+def test_large_classes_overlap_in_full(spark, tmp_path):
+    x = "one two three four five six seven eight nine ten eleven"
+    train = [(i, x if i % 2 else x + " twelve") for i in range(200)] + [(0, x)]  # id 0 has two texts
+    val = [(1000 + i, x.title(), "gcw:1:1") for i in range(70)] + [(2000, "too short", "gcw:1:1")]
+    spark.createDataFrame(train, "pair_id long, query string").write.parquet(f"{tmp_path}/pairs.parquet")
+    spark.createDataFrame(val, "val_id long, query string, chunk_id string").write.parquet(f"{tmp_path}/val.parquet")
+    spark.createDataFrame([("g1", x + " thirteen", "gcw"), ("g2", None, "gcw")], "id string, question string, doc string").write.parquet(f"{tmp_path}/gold.parquet")
+    found = [tuple(r) for r in overlap.p6_found(spark, str(tmp_path)).collect()]
+    want = {("val", str(1000 + i), j) for i in range(70) for j in range(200)} | {("gold", "g1", j) for j in range(200)}
+    assert len(found) == len(want) and set(found) == want
+    assert {tuple(r) for r in overlap.p6_report(spark, str(tmp_path)).collect()} == {("val", "gcw", 71, 70, 14000), ("gold", "gcw", 2, 1, 200)}
+
+
 def test_extra_columns_do_no_harm(spark):
     df = spark.createDataFrame([(0, 1, "a b c d e f g h i j", 5, "z"), (0, 2, "a b c d e f g h i j k", 5, "z")], "kind int, id long, text string, name int, words string").withColumn("count", F.lit(1))
     assert similar.similar_pairs(df).count() == 1
