@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.operators import rank
+from scriptorium.operators.search import Corpus
 from scriptorium.runtime import cut_lineage, widen
+from scriptorium.sources.model import Embedder, embed
 
 NEAR, POOL, TOP_N, LEAK = 0.8, 10, 50, 0.85
 
@@ -71,6 +74,36 @@ def filter_reason(near: Column, mentions: Column, copies: Column, leaks: Column,
     )
 
 
+def leaks(vectors: DataFrame, gold_vectors: DataFrame, least: float = LEAK) -> DataFrame:
+    """(qid, gold, cosine): the gold question nearest to each question, where it is nearer than allowed. Both are (key, vec) of length 1, gold by number `pos`."""
+    return rank.dense_ranking(vectors, gold_vectors, 1).filter(F.col("score") >= least).select("qid", F.col("pos").alias("gold"), F.col("score").alias("cosine"))
+
+
+def filter_cascade(questions: DataFrame, positives: DataFrame, gold: DataFrame, corpus: Corpus, embedder: Embedder, prefix: str = "") -> DataFrame:
+    """(qid, reason, negative_id) of questions (qid, question) with a passage (qid, pos): all six checks, each on what the ones before leave.
+
+    gold is (pos, question). A passage counts as found by the keyword list or the dense list; only questions that the first misses need the second.
+    """
+    flag = lambda df, name: df.select("qid", F.lit(True).alias(name)).distinct()
+    yes = lambda n: F.coalesce(F.col(n), F.lit(False))
+    near = flag(near_duplicates(questions.select(F.col("qid").alias("i"), "question")).withColumnRenamed("i", "qid"), "near")
+    rows = questions.join(positives, "qid").join(corpus.chunks.select("pos", "text"), "pos").join(near, "qid", "left")
+    rows = cut_lineage(rows.select("qid", "pos", "question", yes("near").alias("near"), tx.mentions_prompt(F.col("question")).alias("mentions"), tx.copies_phrase(F.col("question"), F.col("text")).alias("copies")))
+    left = rows.filter(~(F.col("near") | F.col("mentions") | F.col("copies"))).select("qid", "pos", "question")
+    vectors = cut_lineage(embed(widen(left), "qid", "question", embedder, prefix))
+    leak = cut_lineage(flag(leaks(vectors, embed(gold, "pos", "question", embedder, prefix)), "leak"))
+    left = cut_lineage(left.join(leak, "qid", "left_anti"))
+    bm25 = cut_lineage(rank.bm25_ranking(rank.query_terms(left), corpus.posts, corpus.stats, corpus.n, corpus.avgdl, TOP_N))
+    own = left.select("qid", "pos")
+    found = cut_lineage(flag(bm25.join(own, ["qid", "pos"]), "found"))
+    missed = cut_lineage(vectors.join(left.select("qid"), "qid", "left_semi").join(found, "qid", "left_anti"))
+    passages = cut_lineage(embed(widen(corpus.chunks.select("pos", "text")), "pos", "text", embedder))
+    found = found.unionByName(flag(rank.dense_ranking(missed, passages, TOP_N).join(own, ["qid", "pos"]), "found"))
+    rows = rows.join(leak, "qid", "left").join(found, "qid", "left").join(hard_negatives(own, bm25, corpus.chunks), "qid", "left")
+    reason = filter_reason(F.col("near"), F.col("mentions"), F.col("copies"), yes("leak"), yes("found"), F.col("negative_id"))
+    return rows.select("qid", F.coalesce(reason, F.lit("kept")).alias("reason"), F.when(reason.isNull(), F.col("negative_id")).alias("negative_id"))
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Rows with n0, their place from 0, without gathering them in one task: places within ranges of the first key plus the counts before.
 

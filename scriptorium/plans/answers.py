@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 from scriptorium.functions import text as tx
 from scriptorium.operators import cite, evaluate, index, mining, prompt, rank
 from scriptorium.plans import retrieval as rt, sqltext as sql
-from scriptorium.runtime import cut_lineage, read_table
+from scriptorium.runtime import cut_lineage, read_table, widen
+from scriptorium.sources.model import HashingEmbedder, embed
 
 PREFIX = "Represent this sentence for searching relevant passages: "
 
@@ -99,7 +100,7 @@ def hard_negatives(spark, sf_dir):
 
 
 def pair_filter(spark, sf_dir):
-    """Reason to drop each validation question, or that it is kept, and its hard negative. There are no vectors of these questions, so nothing leaks and only the keyword list counts."""
+    """Reason to drop each validation question, or that it is kept, and its hard negative. As in its SQL, nothing leaks and only the keyword list counts; filter_cascade has all checks."""
     c, val, bm25, positives = _val_search(spark, sf_dir, mining.TOP_N)
     near = mining.near_duplicates(val.select(F.col("qid").alias("i"), "question")).select(F.col("i").alias("qid"), F.lit(True).alias("near"))
     found = bm25.join(positives, ["qid", "pos"]).select("qid", F.lit(True).alias("found")).distinct()
@@ -109,6 +110,34 @@ def pair_filter(spark, sf_dir):
     return rows.select("qid", F.coalesce(reason, F.lit("kept")).alias("reason"), F.when(reason.isNull(), F.col("negative_id")).alias("negative_id"))
 
 
+def _candidates(spark, sf_dir):
+    """(qid, question) of pairs and val, and (qid, pos) of their passages, whose ids may be written in another case or with other separators."""
+    key = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), "-")
+    of = lambda table, name: read_table(spark, sf_dir, table).select(F.col(name).alias("qid"), F.col("query").alias("question"), "chunk_id")
+    rows = of("pairs", "pair_id").unionByName(of("val", "val_id")).filter("question IS NOT NULL").dropDuplicates(["qid"])
+    positives = rows.select("qid", key(F.col("chunk_id")).alias("key")).join(rt.chunks_of(spark, sf_dir).select("pos", key(F.col("chunk_id")).alias("key")), "key")
+    return rows.select("qid", "question"), positives.select("qid", "pos")
+
+
+def _gold_numbered(spark, sf_dir):
+    return read_table(spark, sf_dir, "gold").select(F.xxhash64("id").alias("pos"), "id", "question")
+
+
+def leak_guard(spark, sf_dir, embedder=None):
+    """Training questions too similar to a gold question, and to which."""
+    embedder = embedder or HashingEmbedder()
+    questions, _ = _candidates(spark, sf_dir)
+    gold = _gold_numbered(spark, sf_dir)
+    near = mining.leaks(embed(widen(questions), "qid", "question", embedder, PREFIX), embed(gold, "pos", "question", embedder, PREFIX))
+    return near.join(gold.select(F.col("pos").alias("gold"), "id"), "gold").select("qid", F.col("id").alias("gold_id"), F.round("cosine", 6).alias("cosine"))
+
+
+def filter_cascade(spark, sf_dir, embedder=None):
+    """Reason to drop each training question of pairs and val, or that it is kept, and its hard negative: all six checks, with vectors of the injected embedder."""
+    questions, positives = _candidates(spark, sf_dir)
+    return mining.filter_cascade(questions, positives, _gold_numbered(spark, sf_dir).select("pos", "question"), rt.corpus_of(spark, sf_dir), embedder or HashingEmbedder(), PREFIX)
+
+
 CODES = ("near-duplicate", "refers to 'the passage'", "copies a phrase from its passage", "too similar to a gold question", "passage not in BM25 or dense top 50", "no unrelated hard negative in the BM25 top 10")
 
 
@@ -205,7 +234,7 @@ def ship_verdict(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        source_markers, numbers_normalised, answer_sentences, tidy_answers, answer_scoring, failure_sources, answer_rates, citation_report, parsed_questions, copied_phrase, near_duplicates, hard_negatives, pair_filter,
+        source_markers, numbers_normalised, answer_sentences, tidy_answers, answer_scoring, failure_sources, answer_rates, citation_report, parsed_questions, copied_phrase, near_duplicates, hard_negatives, pair_filter, leak_guard, filter_cascade,
         drop_reasons, spread_sample, strided_sample, seeded_split, resume_anti_join, pair_fk_check, training_triples, ir_metrics, quote_holders, value_probes, ship_verdict,
     )
 }
