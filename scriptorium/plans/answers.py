@@ -119,6 +119,14 @@ def _candidates(spark, sf_dir):
     return rows.select("qid", "question"), positives.select("qid", "pos")
 
 
+def mined_negatives(spark, sf_dir):
+    """Hard negatives of all training questions of pairs and val."""
+    c = rt.corpus_of(spark, sf_dir)
+    questions, positives = _candidates(spark, sf_dir)
+    bm25 = rank.bm25_ranking(rank.query_terms(questions.join(positives.select("qid"), "qid", "left_semi")), c.posts, c.stats, c.n, c.avgdl, mining.POOL)
+    return mining.hard_negatives(positives, bm25, c.chunks)
+
+
 def _gold_numbered(spark, sf_dir):
     return read_table(spark, sf_dir, "gold").select(F.xxhash64("id").alias("pos"), "id", "question")
 
@@ -234,7 +242,7 @@ def ship_verdict(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        source_markers, numbers_normalised, answer_sentences, tidy_answers, answer_scoring, failure_sources, answer_rates, citation_report, parsed_questions, copied_phrase, near_duplicates, hard_negatives, pair_filter, leak_guard, filter_cascade,
+        source_markers, numbers_normalised, answer_sentences, tidy_answers, answer_scoring, failure_sources, answer_rates, citation_report, parsed_questions, copied_phrase, near_duplicates, hard_negatives, pair_filter, leak_guard, filter_cascade, mined_negatives,
         drop_reasons, spread_sample, strided_sample, seeded_split, resume_anti_join, pair_fk_check, training_triples, ir_metrics, quote_holders, value_probes, ship_verdict,
     )
 }

@@ -42,3 +42,18 @@ def test_cascade_equals_brute_force(spark, sf):
     assert got == want
     assert "too similar to a gold question" in {r for r, _ in got.values()}
     assert any((q, own[q]) not in listed and own[q] in dense[q] and not (q in near or any(simple[q]) or leak[q]) for q in ids)
+
+
+def test_negatives_of_pairs_and_val_equal_sql(spark, sf):
+    """The SQL of hard_negatives over a view of val that also holds pairs, with the ids of passages as chunks writes them."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("chunks", "embeddings", "gold"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    key = "array_to_string(regexp_extract_all(lower({}), '[a-z0-9]+'), '-')".format
+    con.execute(f"""CREATE TABLE val AS SELECT DISTINCT r.id AS val_id, r.query, c.chunk_id FROM (SELECT pair_id AS id, query, chunk_id FROM read_parquet('{sf}/pairs.parquet')
+      UNION ALL SELECT val_id, query, chunk_id FROM read_parquet('{sf}/val.parquet')) r JOIN chunks c ON {key('r.chunk_id')} = {key('c.chunk_id')}""")
+    want = con.execute(answers.ORACLE["hard_negatives"]).fetchall()
+    got = [tuple(r) for r in answers.mined_negatives(spark, sf).select("qid", "negative_id").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 200
