@@ -24,13 +24,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scriptorium.llm.similar import BLOCK, EXPAND, MIN_WORDS, T, _take, hashed_rows, mix, tau
+from scriptorium.llm.similar import BLOCK, EXPAND, MIN_WORDS, T, _take, mix, tau
 from scriptorium.runtime import read_table
 
 SPAN = 3
 FIELDS = {"key": np.uint64, "name": np.int64, "sketch": np.uint64, "size": np.int32, "side": np.int8}
 
 
+def hashed_rows(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(kind, id, words array<int>) of the rows (kind, id, text) with enough words."""
+    listed = rows.select("kind", "id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("all_words")).filter(F.size("all_words") >= min_words)
+    return listed.select("kind", "id", F.array_sort(F.array_distinct(F.transform("all_words", lambda w: F.hash(w)))).alias("words"))
+
+
 def suffixes(side: np.ndarray, name: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """For each suffix of at least SPAN tokens: the number of its first SPAN tokens, and whose it is."""
     size = np.diff(offsets)

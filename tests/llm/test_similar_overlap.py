@@ -40,25 +40,62 @@ def test_pairs_equal_brute_force(spark, seed):
     assert got == brute(rows, rows, True) and got
 
 
-def test_hot_segments_give_the_same_pairs(spark, monkeypatch):
-    rows = list(enumerate(texts(40, 3)))
+def test_shared_keys_give_the_same_pairs(spark):
+    rows = list(enumerate(texts(60, 3, vocab=25)))
     df = spark.createDataFrame([(0, i, t) for i, t in rows], "kind int, id long, text string")
+    plain = {tuple(r) for r in similar.similar_pairs(df).collect()}
+    for run in (1, 5, 40):  # keys of more rows than these go out under chains of two, in blocks
+        plan, _ = similar.make_plan(df, run=run)
+        assert len(plan.shared) and (run > 5 or plan.blocks.max() > 1)
+        assert {tuple(r) for r in similar.similar_pairs(df, run=run).collect()} == plain
+    assert {(a, b) for _, a, b in plain} == brute(rows, rows, True)
+
+
+@pytest.mark.parametrize("t", [0.5, 0.6, 0.9])
+def test_other_similarities(spark, t):
+    rows = list(enumerate(texts(40, 5)))
+    df = spark.createDataFrame([(0, i, x) for i, x in rows], "kind int, id long, text string")
+    sets = [(i, frozenset(WORD.findall(x.lower()))) for i, x in rows if len(WORD.findall(x.lower())) >= 10]
+    want = {(i, j) for i, x in sets for j, y in sets if i < j and len(x & y) / len(x | y) >= t - 1e-9}
+    assert {(r.id_a, r.id_b) for r in similar.similar_pairs(df, t=t).collect()} == want and want
+
+
+def test_a_plan_of_other_texts_finds_the_same(spark):
+    rows = list(enumerate(texts(50, 6)))
+    df = spark.createDataFrame([(0, i, x) for i, x in rows], "kind int, id long, text string")
     hashed = similar.hashed_rows(df)
-    dealers, n = similar.make_dealers(hashed)
-    plain = {tuple(r) for r in similar.candidates(similar.classes(hashed), dealers, 4).collect()}
-    for d in dealers.values():
-        d.rows = 10**9  # every segment counts as hot
-    salted = {tuple(r) for r in similar.candidates(similar.classes(hashed), dealers, 4).collect()}
-    sets = similar.classes(hashed)
-    alike = lambda pairs: {tuple(r) for r in similar.alike(sets, spark.createDataFrame(sorted(pairs), "name_a long, name_b long")).collect()}
-    assert alike(plain) == alike(salted) and alike(plain)
+    rng = np.random.default_rng(0)
+    other = similar.Plan([(0, rng.integers(0, 2**63, 12).astype(np.uint64)) for _ in range(50)], 100)
+    got = {(r.rep_a, r.rep_b) for r in similar.alike_classes(hashed, other, 3).filter("name_a <> name_b").collect()}
+    ids = {tuple(sorted(p)) for p in got}
+    assert ids and ids <= brute(rows, rows, True)
+    empty = similar.Plan([], 0)
+    assert {tuple(sorted((r.rep_a, r.rep_b))) for r in similar.alike_classes(hashed, empty, 3).filter("name_a <> name_b").collect()} == ids
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(3000)]
+    near = [f"v{rng.randrange(10**6)}" if rng.random() < 0.1 else w for w in base]
+    far = [f"v{rng.randrange(10**6)}" if rng.random() < 0.5 else w for w in base]
+    df = spark.createDataFrame([(0, 1, " ".join(base)), (0, 2, " ".join(near)), (0, 3, " ".join(far))], "kind int, id long, text string")
+    assert {tuple(r) for r in similar.similar_pairs(df).collect()} == {(0, 1, 2)}
 
 
 def test_levels_cover_all_bounds():
-    for size in range(1, 200):
-        sums = np.arange(size + int(np.ceil(0.7 * size)), size + int(size / 0.7) + 1)
-        covered = {t for k in similar.levels_of(size) for t in range(similar.LEVELS[k][0], similar.LEVELS[k][1] + 1)}
-        assert set(similar.tau(sums).tolist()) <= covered
+    rng = random.Random(1)
+    for seed in range(20):
+        ranges = [similar.tau_range(rng.randint(1, 30 * (seed + 1))) for _ in range(200)]
+        levels = similar.levels_for(ranges)
+        assert levels[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(levels, levels[1:])) and levels[-1][1] > 10**6
+
+
+def test_classes_count_all_links(spark):
+    t = "one two three four five six seven eight nine ten eleven"
+    rows = [(0, i, t) for i in range(100)] + [(0, 99, t + " twelve"), (0, 200, t + " twelve"), (0, 201, t + " twelve"), (0, 300, "a b c d e f g h i j k"), (1, 5, t), (0, 3, t)]
+    df = spark.createDataFrame(rows, "kind int, id long, text string")
+    got = {(r.kind, r.id, r.class_id): (r.class_size, r.links) for r in similar.similar_classes(df).collect()}
+    assert got == {(0, i, 0): (100, 102) for i in range(100)} | {(0, i, 99): (3, 102) for i in (99, 200, 201)}
 
 
 def test_copies_stay_linked(spark):
@@ -68,6 +105,13 @@ def test_copies_stay_linked(spark):
     assert {(0, i) for i in range(1, 50)} <= got and (0, 99) in got and len(got) < 80
 
 
+def test_different_texts_of_one_class_stand_in_all_pairs(spark):
+    words = "one two three four five six seven eight nine ten eleven".split()
+    rng = random.Random(2)
+    df = spark.createDataFrame([(0, i, " ".join(rng.sample(words, len(words)))) for i in range(40)], "kind int, id long, text string")
+    assert {(r.id_a, r.id_b) for r in similar.similar_pairs(df, expand=2).collect()} == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+
+
 def test_pairs_stay_within_a_table_and_empty_input(spark):
     t = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([(0, 1, t), (1, 2, t), (1, 3, t)], "kind int, id long, text string")
