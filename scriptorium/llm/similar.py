@@ -460,10 +460,11 @@ def word_list(text: Column) -> Column:
 
 
 def hashed_rows(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(kind, id, text, name, same) of the rows (kind int below 8, id, text) with enough words; `same` is a hash of the words in their order."""
-    listed = rows.select("kind", "id", "text", F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("listed")).filter(F.size("listed") >= min_words)
+    """(kind, id, text, name, same, m) of the rows (kind int below 8, id, text) with enough words; `same` is a hash of the words in their order, m the number of distinct ones."""
+    # Exploded, the list is made once; a filter on a plain column would be pushed below and make it a second time.
+    listed = rows.select("kind", "id", "text", F.explode(F.array(F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)))).alias("listed")).filter(F.size("listed") >= min_words)
     words = listed.withColumn("words", F.sort_array(F.array_distinct("listed")))
-    return words.select("kind", "id", "text", F.expr(f"(xxhash64(words, kind) & {~KINDS}L) | kind").alias("name"), F.hash("listed").alias("same"))
+    return words.select("kind", "id", "text", F.expr(f"(xxhash64(words, kind) & {~KINDS}L) | kind").alias("name"), F.hash("listed").alias("same"), F.size("words").alias("m"))
 
 
 def word_numbers(text: Column) -> Column:
@@ -472,8 +473,8 @@ def word_numbers(text: Column) -> Column:
 
 
 def classes(hashed: DataFrame) -> DataFrame:
-    """One row per distinct word set and table: (name, text, rep, n). All who read it take all columns, so that one exchange serves them."""
-    return hashed.groupBy("name").agg(F.first("text").alias("text"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    """One row per distinct word set and table: (name, text, rep, n, m). All who read it take all columns, so that one exchange serves them."""
+    return hashed.groupBy("name").agg(F.first("text").alias("text"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
 
 
 def make_plan(rows: DataFrame, t: float = T, min_words: int = MIN_WORDS, run: int = RUN) -> tuple[Plan, int]:
@@ -485,16 +486,20 @@ def make_plan(rows: DataFrame, t: float = T, min_words: int = MIN_WORDS, run: in
     return Plan([(r.kind, np.array(r.words, np.int64).view(np.uint64)) for r in found], n, t, run), n
 
 
+def are_alike(x: str, y: str, t: float) -> Column:
+    """Whether the words of text_x, m_x of them, and those of text_y share a part t of their union: o >= t * (m_x + m_y - o). Each text is read once."""
+    shared = F.size(F.array_intersect(word_list(F.col(f"text_{x}")), word_list(F.col(f"text_{y}"))))
+    return shared >= t / (1 + t) * (F.col(f"m_{x}") + F.col(f"m_{y}")) - 1e-9
+
+
 def alike_classes(hashed: DataFrame, plan: Plan, parts: int) -> DataFrame:
     """(name_a, rep_a, n_a, name_b, rep_b, n_b) of alike classes with name_a < name_b, and of each class of several rows with itself."""
     sets = classes(hashed)
-    a, b = (sets.select(F.col("name").alias(f"name_{x}"), F.col("text").alias(f"text_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    words_a, words_b = (F.array_distinct(word_list(F.col(f"text_{x}"))) for x in "ab")
-    shared = F.size(F.array_intersect(words_a, words_b))
-    sent = sets.select("name", word_numbers(F.col("text")).alias("words"), "rep", "n")
+    a, b = (sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("name", "text", "rep", "n", "m"))) for x in "ab")
+    sent = sets.select("name", word_numbers(F.col("text")).alias("words"), "rep", "n", "m")
     near = candidates(sent, plan, parts).distinct().join(a, "name_a").join(b, "name_b")
-    found = near.filter(shared >= plan.t * (F.size(words_a) + F.size(words_b) - shared) - 1e-9).drop("text_a", "text_b")
-    own = sets.filter((F.col("n") > 1) & (F.length("text") > 0)).select(*(F.col(c).alias(f"{c}_{x}") for x in "ab" for c in ("name", "rep", "n")))
+    found = near.filter(are_alike("a", "b", plan.t)).select("name_a", "rep_a", "n_a", "name_b", "rep_b", "n_b")
+    own = sets.filter((F.col("n") > 1) & (F.col("m") > 0) & (F.length("text") > 0)).select(*(F.col(c).alias(f"{c}_{x}") for x in "ab" for c in ("name", "rep", "n")))
     return found.unionByName(own)
 
 
