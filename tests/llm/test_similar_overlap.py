@@ -131,6 +131,39 @@ def test_overlaps_equal_brute_force(spark):
     assert overlap.overlaps(t.limit(0), e).count() == 0 and overlap.overlaps(t, e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("t", [0.4, 0.5, 2 / 3, 0.9])
+def test_overlaps_at_other_similarities(spark, t):
+    all_ = texts(50, 8)
+    random.Random(1).shuffle(all_)
+    train, ev = list(enumerate(all_[:80])), [(str(i), x) for i, x in enumerate(all_[80:])]
+    sets = lambda xs: [(i, frozenset(WORD.findall(x.lower()))) for i, x in xs if len(WORD.findall(x.lower())) >= 10]
+    want = {(i, j) for i, x in sets(ev) for j, y in sets(train) if len(x & y) / len(x | y) >= t - 1e-9}
+    df = spark.createDataFrame([(1, *x) for x in ev], "kind int, id string, text string")
+    assert {(r.eval_id, r.train_id) for r in overlap.overlaps(spark.createDataFrame(train, "id long, text string"), df, t=t).collect()} == want and want
+
+
+def test_shared_starts_in_blocks_give_the_same(spark):
+    all_ = texts(60, 9, vocab=20)
+    train, ev = list(enumerate(all_[:100])), [(str(i), x) for i, x in enumerate(all_[100:])]
+    a, b = spark.createDataFrame(train, "id long, text string"), spark.createDataFrame([(1, *x) for x in ev], "kind int, id string, text string")
+    keys, blocks, _ = overlap._shared_starts(a.withColumn("kind", F.lit(0)), 10, 3, 3)
+    assert len(keys) and blocks.max() > 1
+    assert {(r.eval_id, r.train_id) for r in overlap.overlaps(a, b, run=3).collect()} == brute(ev, train, False)
+
+
+def test_coverage_is_what_the_spans_cover():
+    rng = np.random.default_rng(3)
+    a = np.sort(rng.choice(2**40, 20, replace=False)).astype(np.uint64)
+    b = np.delete(a, [7])
+    x = overlap.suffixes(np.concatenate([a, b]), np.array([0, 20, 39]), 3)
+    side, name = (x["row"] == 0).astype(np.int8), x["row"].astype(np.int64)
+    size = np.array([20, 19])[x["row"]]
+    found = list(overlap.shared_spans({"key": x["key"], "ahead": x["ahead"], "pos": x["pos"], "side": side, "name": name, "sketch": np.zeros(len(size), np.uint64), "size": size}, 0.7, 3))
+    places = {p for f in found for p, n in zip(f["pos"], f["length"]) for p in range(p, p + n)}
+    order = np.argsort(np.argsort(np.sort(a)))
+    assert places == set(range(22)) - {1 + int(order[7])} and all((f["least"] <= 21).all() for f in found)
+
+
 def test_overlap_copies_stay_linked(spark):
     x = "one two three four five six seven eight nine ten eleven"
     t = spark.createDataFrame([(i, x) for i in range(30)], "id long, text string")
@@ -149,7 +182,8 @@ def test_large_classes_overlap_in_full(spark, tmp_path):
     found = [tuple(r) for r in overlap.p6_found(spark, str(tmp_path)).collect()]
     want = {("val", str(1000 + i), j) for i in range(70) for j in range(200)} | {("gold", "g1", j) for j in range(200)}
     assert len(found) == len(want) and set(found) == want
-    assert {tuple(r) for r in overlap.p6_report(spark, str(tmp_path)).collect()} == {("val", "gcw", 71, 70, 14000), ("gold", "gcw", 2, 1, 200)}
+    got_gold = next(r.coverage for r in overlap.p6_report(spark, str(tmp_path)).collect() if r.eval_table == "gold")
+    assert {tuple(r) for r in overlap.p6_report(spark, str(tmp_path)).collect()} == {("val", "gcw", 71, 70, 14000, 1.0), ("gold", "gcw", 2, 1, 200, round(got_gold, 4))} and 0.5 < got_gold < 1
 
 
 def test_extra_columns_do_no_harm(spark):
