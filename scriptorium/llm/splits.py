@@ -9,7 +9,9 @@ Records that name one entity never enter the loop, however hot the entity: they
 
 Splits: groups of at least 1/LARGE of all rows (there are at most LARGE of them) go one by one to the split
 that lacks most rows of their strata; the others are dealt by hash buckets within their stratum, so the driver
-sees at most strata x BUCKETS counts. A group is never divided.
+sees at most STRATA x BUCKETS counts. Groups of the strata beyond the STRATA largest, each of at most 1/STRATA of the rows, are
+dealt stratum by stratum on the executors, in the order of a hash, each to the split in whose share of the stratum its middle
+falls. A group is never divided.
 
 Defined results: a record that names no entity is alone; ids written in another case, with blanks or
 other separators are the same; a chunk_id with fewer than two parts names no section; repeated rows count once.
@@ -17,7 +19,9 @@ other separators are the same; a chunk_id with fewer than two parts names no sec
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.runtime import cut_lineage, read_table
 
@@ -25,8 +29,11 @@ PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 LARGE = 1000
 BUCKETS = 256
 STRATA = 1000
-AGREEMENT = r"(?i)\b(?:agreement|agmt)\b[^a-zA-Z0-9]*(?:no\b[^a-zA-Z0-9]*)?[a-zA-Z]{1,5}\s*[-/. ]\s*\d{1,6}\s*[-/. ]\s*\d{2,4}\b"
-AGREEMENT_PARTS = r"([a-z]{1,5})\W*(\d+)\W+(\d+)$"
+#: Letters, number and year of an agreement after a word for one, in any writing.
+NAMED = r"(?i)\b(?:agreement|agmt|contract)\b[^a-zA-Z0-9]*(?:(?:no|number|nr)\b[^a-zA-Z0-9]*)?[a-zA-Z]{1,5}[-/._\s]{0,3}\d{1,6}\s*[-/. ]\s*(?:\d{4}|\d{2})(?![0-9a-zA-Z])"
+#: The same without such a word: letters joined to the number or in capitals, and - or / before the year, as no decimal, date or range of pages has them.
+FORMED = r"(?<![a-zA-Z0-9])(?:[a-zA-Z]{1,5}[-/._]?|[A-Z]{1,5}\s{1,2})\d{3,6}\s?[-/]\s?(?:\d{4}|\d{2})(?![0-9a-zA-Z])"
+AGREEMENT_PARTS = r"([a-z]{1,5})[^a-z0-9]*(\d+)[^a-z0-9]+(\d+)$"
 
 
 def section_of(chunk_id: Column) -> Column:
@@ -37,15 +44,15 @@ def section_of(chunk_id: Column) -> Column:
 
 
 def agreements_of(text: Column) -> Column:
-    """Letters, number and year of every agreement a text names."""
-    found = F.regexp_extract_all(text, F.lit(AGREEMENT), F.lit(0))
+    """Letters, number and year of every agreement a text names, once each."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(NAMED), F.lit(0)), F.regexp_extract_all(text, F.lit(FORMED), F.lit(0)))
 
     def norm(x: Column) -> Column:
         x = F.lower(x)
         part = lambda k: F.regexp_extract(x, AGREEMENT_PARTS, k)
         return F.concat_ws("-", part(1), F.regexp_replace(part(2), "^0+(?=.)", ""), F.substring(part(3), -2, 2))
 
-    return F.transform(found, norm)
+    return F.array_distinct(F.transform(found, norm))
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -99,21 +106,23 @@ def deal(totals: dict[str, dict[str, int]], taken: dict[tuple[str, str], int], r
     return max(PROPORTIONS, key=lambda p: (lack(*p), p[1]))[0]
 
 
-def assign(labels: DataFrame) -> DataFrame:
+def assign(labels: DataFrame, strata: int = STRATA) -> DataFrame:
     """(record_id, group_id, stratum, split) from (record_id, group_id, stratum)."""
     spark = labels.sparkSession
     lab = cut_lineage(labels.withColumn("stratum", F.coalesce("stratum", F.lit("none"))))
-    names = lab.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(STRATA).collect()
-    lab = lab.withColumn("layer", F.when(F.col("stratum").isin([r[0] for r in names]), F.col("stratum")).otherwise("other"))
+    names = lab.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(strata).select(F.col("stratum").alias("layer"))
+    lab = lab.join(F.broadcast(names), lab["stratum"] == names["layer"], "left")  # at most `strata` names
     n = lab.count()
-    groups = lab.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("layer", "record_id").alias("home"))
-    large = {r.group_id for r in groups.filter(F.col("n") * LARGE >= n).select("group_id").collect()}
-    bucketed = lab.join(groups.select("group_id", "home"), "group_id").withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(BUCKETS)).cast("int"))
-    unit = F.when(F.col("group_id").isin(list(large)), F.concat(F.lit("g"), F.col("group_id").cast("string"))).otherwise(F.concat_ws(":", F.col("home"), F.col("bucket").cast("string")))
-    bucketed = bucketed.withColumn("unit", unit)
+    groups = lab.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("layer", "record_id").alias("home"), F.min_by("stratum", "record_id").alias("own"))
+    is_large = F.col("n") * LARGE >= n
+    bucket = F.pmod(F.xxhash64("group_id"), F.lit(BUCKETS)).cast("string")
+    unit = F.when(is_large, F.concat(F.lit("g"), F.col("group_id").cast("string"))).otherwise(F.concat_ws(":", bucket, F.col("home")))
+    groups = groups.select("group_id", "n", "own", F.when(is_large | F.col("home").isNotNull(), unit).alias("unit"))
+    bucketed = lab.join(groups.select("group_id", "unit"), "group_id")
     per: dict[str, dict[str, int]] = {}
     totals: dict[str, dict[str, int]] = {}
-    for r in bucketed.groupBy("unit", "layer").count().collect():  # at most LARGE + strata x BUCKETS units
+    # At most LARGE + strata x BUCKETS units; rows of smaller strata in them count together.
+    for r in bucketed.filter("unit IS NOT NULL").groupBy("unit", F.coalesce("layer", F.lit("")).alias("layer")).count().collect():
         per.setdefault(r.unit, {})[r.layer] = r["count"]
         totals.setdefault(r.layer, {})[r.unit] = r["count"]
     taken: dict[tuple[str, str], int] = {}
@@ -124,7 +133,18 @@ def assign(labels: DataFrame) -> DataFrame:
         for s, k in per[u].items():
             taken[split, s] = taken.get((split, s), 0) + k
     table = spark.createDataFrame(chosen, "unit string, split string")
-    return bucketed.join(F.broadcast(table), "unit").select("record_id", "group_id", "stratum", "split")
+    # Small strata: the share of the stratum that comes before the middle of a group.
+    by = Window.partitionBy("own").orderBy(F.xxhash64("group_id"), "group_id")
+    before = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n") / 2
+    share = before / F.sum("n").over(Window.partitionBy("own"))
+    # Turned by a number of the stratum's own, so that strata of a group or two don't all go to one split.
+    share = F.pmod(share + F.pmod(F.xxhash64("own"), F.lit(1 << 20)) / (1 << 20), F.lit(1.0))
+    split = F.lit(PROPORTIONS[-1][0])
+    for (name, _), upto in reversed(list(zip(PROPORTIONS, itertools.accumulate(p for _, p in PROPORTIONS)))[:-1]):
+        split = F.when(share < upto, name).otherwise(split)
+    small = groups.filter("unit IS NULL").withColumn("split", split).select("group_id", F.col("split").alias("own_split"))
+    out = bucketed.join(F.broadcast(table), "unit", "left").join(small, "group_id", "left")
+    return out.select("record_id", "group_id", "stratum", F.coalesce("split", "own_split").alias("split"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,26 @@ def test_groups_equal_union_find(spark):
     assert splits.group_labels(df.limit(0)).count() == 0
 
 
+def test_agreements_however_written(spark):
+    same = ["as in contract BX0417-16?", "CONTRACT BX 417/2016 said", "under bx-417-16, who pays?", "the BX/417/16 rate", "pays BX 417/16 first", "bx417/16", "Agreement Number: bx.0417.16", "agmt. no BX 417 16 applies", "per agreement no. BX-417/16."]
+    other = ["contract BX0417-17", "rate of 417.16 lakh", "pages p12-16 and pp417-16a", "on 4/17/2016", "drops to 417.16", "clause 4.17 of 2016", "BX 417", "of 417/16", "AA-417-16"]
+    rows = [(i, None, q) for i, q in enumerate(same)] + [(100 + i, None, q) for i, q in enumerate(other)]
+    got = {r.record_id: r.group_id for r in splits.group_labels(spark.createDataFrame(rows, "record_id long, chunk_id string, query string")).collect()}
+    assert [got[i] for i in range(len(same))] == [0] * len(same)
+    assert [got[100 + i] for i in range(len(other))] == [100 + i for i in range(len(other))]
+
+
+def test_small_strata_are_dealt_too(spark):
+    rows = [(i, i // 2, f"s{i % 40}" if i >= 2000 else "big") for i in range(6000)]
+    got = splits.assign(spark.createDataFrame(rows, "record_id long, group_id long, stratum string"), strata=1).collect()
+    assert len(got) == 6000 and len({(r.group_id, r.split) for r in got}) == 3000
+    for names in (["big"], [f"s{k}" for k in range(40)]):
+        part = [r.split for r in got if r.stratum in names]
+        assert abs(part.count("train") / len(part) - 0.8) < 0.03 and abs(part.count("test") / len(part) - 0.1) < 0.03
+    one = [r.split for r in got if r.stratum == "s7"]
+    assert 0.6 < one.count("train") / len(one) < 0.95
+
+
 def test_long_chain(spark):
     rows = [(i, None, f"agreement AA/{i}/10 and agreement AA/{i + 1}/10") for i in range(1, 60)]
     got = splits.group_labels(spark.createDataFrame(rows, "record_id long, chunk_id string, query string")).select("group_id").distinct().collect()
