@@ -1,11 +1,12 @@
 """Problem 5: broken prompt and response pairs.
 
 Each answer is put to five tests, the first that fails names its defect:
-empty; a copy of its question: compressed with the question as its zstandard dictionary it shrinks to almost nothing, and the
-whole question stands in it with little around it; a refusal, by dictionaries of declining and of not-found phrases;
+empty; a copy of its question: with the answer as zstandard dictionary the question shrinks to QUESTION_SHARE of what it takes by itself (so it stands in
+the answer, whole or nearly), and the answer with the question to COPY_SHARE (so there is little else, however often it is repeated); a refusal, by dictionaries of declining and of not-found phrases;
 another language than the question's, by script and dictionaries of function words; truncated, by what stands at its end: open
 quotations, brackets or markers, abbreviations, words without an end mark that are no reference, and, for Thai,
-an ending that sentences of the corpus don't have (terminal contexts, at most CONTEXTS of them, counted over all answers).
+an ending that sentences of the corpus don't have (terminal contexts, counted over all answers: those met twice or more, and
+by at least one in CONTEXTS of the sentences, so they are at most CONTEXTS).
 
 Answers are independent apart from those counts: two passes over the table, no shuffle of texts.
 
@@ -18,31 +19,25 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm.marks import MARKER_JAVA, is_empty
+from scriptorium.llm.marks import MARKER_JAVA, is_empty, language
 from scriptorium.llm.sentences import BEFORE_DIGIT, LIST_HEAD, OPENERS, SPACE, SURE, sentence_ends
 from scriptorium.runtime import read_table
 
-CONTEXTS, CONTEXT_CHARS = 20_000, 5
+CONTEXTS, CONTEXT_CHARS = 100_000, 5
 MARKER = re.compile(MARKER_JAVA)
 #: A marker that breaks off.
 OPEN_MARKER = re.compile(r"\[\s*[Ss]?[\d,; S]*$")
-#: Largest share of its own size that a copy has when compressed with its question, and words around the question.
-COPY_SHARE, AROUND = 0.45, 12
-#: Function words. Fixed values.
-FUNCTION_WORDS = {
-    "en": "the of and is are was were be been to in that which for not any each if when where shall must may has have had by with from this these on at or an as it no yes see under how what why who does do can after before",
-    "de": "der die das den dem des und ist sind war wenn nicht nur für von mit auf bei nach im am wird werden wurde muss darf sein eine ein einer dass obwohl warum innerhalb bereits getrennt zu dabei sobald dann schriftlich",
-    "fr": "le la les de des du et est sont était été une un que qui ne pas pour dans sur selon avec lorsque quand il il faut tant reste ouvrage délai pouvait être avec alors pourquoi aux au ce malgré lieu n l d y",
-    "es": "el la los las de del y es son fue que en no se por para una un según porque ya estaba cuando debe si quién ha antes ninguna puede mientras dure con hasta quede obra al ser",
-    "pt": "o a os as de do da dos das e é são foi que em não se por para uma um conforme porque já estava quando deve quem ainda antes nenhuma pode enquanto durar com até fique obra ao cabe há",
-    "hi-Latn": "ka ke ki ko se hai hi nahi aur kya agar to par ne mein bhi liye kar karna chahiye baad bina samay din hoga hogi gaya gayi thi tha hui ho yeh iska",
-}
-KNOWN = {code: frozenset(words.split()) for code, words in FUNCTION_WORDS.items()}
+#: Largest shares of their own compressed sizes that a question takes with its copy as dictionary, and the copy with its question.
+QUESTION_SHARE, COPY_SHARE = 0.14, 0.4
+#: Bytes that compressed data take besides what they say, and the least question that can be a dictionary.
+FRAME, LEAST_DICTIONARY = 9, 8
 #: Phrases by which an answer declines; the first group needs a first person in its sentence. Fixed values.
 FIRST_PERSON = re.compile(r"\b(?:i|i'm|i'd|i'll|i've|me|my|we|our|us|assistant)\b")
 DECLINES = re.compile(
@@ -62,51 +57,46 @@ STATEMENT_WORDS = 30
 REFERENCE = re.compile(
     r"(?i)(?:(?:see|yes|no|under|per|as per|cf\.?)[,:]?\s+)*(?:(?:see|under|per|in|by|to)\s+)*(?:annex|table|clause|cl\.|art\.|article|fig\.|figure|section|sec\.|part|appendix|schedule|para\.?|page|p\.|rule|§|ziff\.|nr\.|abs\.|pág\.)\s*[\dA-Z][\w.()/-]*"
 )
+OPENING = re.compile("[\"“«„「『]")
+BRACKET, NUMBERED = re.compile("[()]"), re.compile(r"(?:(?<=\s)|^)\(?(?:\d{1,3}|[a-z]|[ivxlc]+)\)")
 END_MARK = re.compile(r"[.!?…。！？।॥؟][\"”’»“)\]}」』\s]*$")
 WORDS = re.compile(r"\w+(?:[ऀ-ॿ฀-๿]\w*)*")
 
 
+#: What isn't a letter, digit or mark on a letter.
+OTHER = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+
+
+@lru_cache(4096)  # questions come many times
 def plain(text: str) -> str:
     """Lower case, markers and marks out, single blanks."""
-    text = MARKER.sub(" ", unicodedata.normalize("NFKC", text)).lower()
-    return " ".join("".join(c if c.isalnum() or unicodedata.category(c)[0] == "M" else " " for c in text).split())
-
-
-def language(text: str) -> str | None:
-    """Code of the language, by script, else by function words; None if it can't be told."""
-    counts = {"zh": 0, "hi": 0, "th": 0, "latin": 0}
-    for c in text:
-        if c.isalpha():
-            counts["latin" if c < "ɐ" else "hi" if "ऀ" <= c <= "ॿ" else "th" if "฀" <= c <= "๿" else "zh" if "㐀" <= c <= "鿿" else "latin"] += 1
-    # A Latin name doesn't make a text Latin: what another script writes in a third of the letters is its own.
-    script = max(counts, key=lambda k: counts[k] * (1 if k == "latin" else 2))
-    if not counts[script]:
-        return None
-    if script != "latin":
-        return script
-    words = re.findall(r"[a-zà-ÿ]+", text.lower())
-    hits = {code: sum(w in known for w in words) for code, known in KNOWN.items()}
-    best = max(hits, key=lambda k: hits[k])
-    others = max(v for k, v in hits.items() if k != best)
-    return best.partition("-")[0] if hits[best] >= 2 and hits[best] > others else None
+    return OTHER.sub(" ", unicodedata.normalize("NFKC", MARKER.sub(" ", text)).lower()).strip()
+
+
+#: One compressor serves all texts of a worker; those with a dictionary are made for pairs only that may be copies.
+PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False)
+
+
+def share_of(text: bytes, dictionary: bytes) -> float:
+    """Size of a text compressed with a dictionary, as a share of its size compressed without."""
+    free = max(1, len(PLAIN.compress(text)) - FRAME)
+    tied = zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    return (len(tied.compress(text)) - FRAME) / free
 
 
 def copies(question: str, answer: str) -> bool:
-    """Whether an answer only repeats its question."""
+    """Whether an answer only repeats its question, whole or nearly, once or more, whatever little stands around it."""
     q, a = plain(question), plain(answer)
     if not q or not a:
         return False
-    raw = a.encode()
-    free = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(raw))
-    tied = len(zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(q.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(raw)) if len(q.encode()) >= 8 else free
-    if tied - 9 > COPY_SHARE * max(1, free - 9) and a != q:
+    if q == a:
+        return True
+    raw, known = a.encode(), q.encode()
+    # What the question lacks has to be written out: with half of the answer new there is no need to compress.
+    asked = set(q.split())
+    if min(len(raw), len(known)) < LEAST_DICTIONARY or 2 * len(raw) < len(known) or (q.isascii() and 2 * sum(len(w) + 1 for w in a.split() if w not in asked) > len(raw)):
         return False
-    at = f" {a} ".find(f" {q} ")
-    if at < 0:
-        at = a.replace(" ", "").find(q.replace(" ", ""))
-        return at >= 0 and len(a) - len(q) <= max(20, len(q) // 2)
-    around = len(a.split()) - len(q.split())
-    return around <= AROUND and len(a) - len(q) <= max(60, len(q))
+    return share_of(known, raw) <= QUESTION_SHARE and share_of(raw, known) <= COPY_SHARE
 
 
 def refuses(answer: str, answerable: bool) -> bool | None:
@@ -126,18 +116,18 @@ def refuses(answer: str, answerable: bool) -> bool | None:
 
 def unclosed(text: str) -> bool:
     """Whether a quotation or bracket is still open at the end."""
-    i = 0
-    while i < len(text):
-        close = '"' if text[i] == '"' else OPENERS.get(text[i]) if text[i] != "‹" else None
-        if close:
-            stop = min((k for k in (text.find(x, i + 1) for x in close) if k > 0), default=-1)
-            if stop < 0:
-                return True
-            i = stop
-        i += 1
+    done = 0
+    for m in OPENING.finditer(text):
+        if m.start() < done:
+            continue
+        close = '"' if m[0] == '"' else OPENERS[m[0]]
+        stop = min((k for k in (text.find(x, m.end()) for x in close) if k > 0), default=-1)
+        if stop < 0:
+            return True
+        done = stop + 1
     depth = 0
-    for c in re.sub(r"(?:(?<=\s)|^)\(?(?:\d{1,3}|[a-z]|[ivxlc]+)\)", "", text):
-        depth = depth + 1 if c == "(" else max(0, depth - 1) if c == ")" else depth
+    for m in BRACKET.finditer(NUMBERED.sub("", text)) if "(" in text else ():
+        depth = depth + 1 if m[0] == "(" else max(0, depth - 1)
     return depth > 0
 
 
@@ -164,11 +154,13 @@ def truncated(answer: str, thai_endings: frozenset[str]) -> bool:
 
 
 def thai_endings(answers: DataFrame) -> frozenset[str]:
-    """Last characters of Thai sentences that others follow, met twice or more."""
+    """Last characters of Thai sentences that others follow, met twice or more and in one of CONTEXTS sentences."""
     bare = F.trim(F.regexp_replace(F.regexp_replace("answer", MARKER_JAVA, " "), r"(?U)\s+", " "))
     parts = answers.filter(F.col("answer").rlike("[฀-๿]")).select(F.split(bare, " ").alias("p")).filter(F.size("p") > 1)
     ends = parts.select(F.explode(F.slice("p", 1, F.size("p") - 1)).alias("s")).filter(F.length("s") > CONTEXT_CHARS).select(F.col("s").substr(F.lit(-CONTEXT_CHARS), F.lit(CONTEXT_CHARS)).alias("e"))
-    return frozenset(r.e for r in ends.groupBy("e").count().filter("count > 1").orderBy(F.desc("count"), "e").limit(CONTEXTS).collect())
+    counted = ends.groupBy("e").count()
+    least = counted.agg(F.sum("count")).first()[0] or 0
+    return frozenset(r.e for r in counted.filter((F.col("count") > 1) & (F.col("count") * CONTEXTS >= least)).collect())
 
 
 def judge(question: str | None, answer: str, answerable: bool, endings: frozenset[str]) -> str | None:

@@ -33,13 +33,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scriptorium.llm.similar import BLOCK, EXPAND, MIN_WORDS, RUN, SAMPLE, SEEN, T, _low_bytes, _number, _take, are_alike, classes, hashed_rows, mix, tau, word_numbers
+from scriptorium.llm.similar import BLOCK, EXPAND, MIN_WORDS, RUN, SAMPLE, SEEN, T, TILE, _low_bytes, _number, _take, are_alike, classes, hashed_rows, mix, tau, word_numbers
 from scriptorium.runtime import read_table, write_out
 
 #: Tokens after the span by which suffixes are sorted and prefixes measured.
 AHEAD = 4
 #: Bits of the table of evaluation starts, and of the pieces in which it is put together.
 BITMAP, PIECE = 1 << 24, 1 << 18
+#: Pairs of a start from which on they are compared in blocks.
+LARGE = 1 << 14
 
 
 def span_for(t: float) -> int:
@@ -84,24 +86,51 @@ def shared_spans(x: dict[str, np.ndarray], t: float, span: int) -> Iterator[dict
     train, evaluation = np.flatnonzero(x["side"] == 0), np.flatnonzero(x["side"] == 1)
     first = np.searchsorted(group[train], group[evaluation], side="left")
     many = np.searchsorted(group[train], group[evaluation], side="right") - first
+    met = many > 0
+    evaluation, first, many = evaluation[met], first[met], many[met]
+    if not len(evaluation):
+        return
+    size, sketch = x["size"].astype(np.int64), x["sketch"]
+    # No partner of a record differs in more words than one of the largest size that may be alike.
+    widest = tau(size[evaluation] + (size[evaluation] / t + 1e-9).astype(np.int64), t) + 1
+
+    def spans(i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+        both = size[i] + size[j]
+        most = tau(both, t)
+        ok = (np.bitwise_count(sketch[i] ^ sketch[j]) <= most) & (np.abs(size[i] - size[j]) <= most)
+        i, j, both, most = i[ok], j[ok], both[ok], most[ok]
+        differ = x["ahead"][i] ^ x["ahead"][j]
+        alike_ahead = np.full(len(i), AHEAD)
+        for k in range(AHEAD):
+            alike_ahead[(differ >> np.uint32(8 * k)) & np.uint32(255) != 0] = AHEAD - 1 - k
+        length = np.minimum(span + alike_ahead, size[i] + 2 - x["pos"][i])
+        return {"eval_name": x["name"][i], "train_name": x["name"][j], "pos": x["pos"][i], "length": length, "least": np.maximum(span, (both - most) // 2 + 2 - most * (span - 1))}
+
+    runs, at, asked = np.unique(group[evaluation], return_index=True, return_counts=True)
+    large = asked * many[at] >= LARGE
+    for k in np.flatnonzero(large):  # all of one side with all of the other, by their sketches
+        own, theirs = evaluation[at[k] : at[k] + asked[k]], train[first[at[k]] : first[at[k]] + many[at[k]]]
+        limit = widest[at[k] : at[k] + asked[k]].astype(np.uint8 if widest.max() < 256 else np.int64)
+        step = max(1, TILE // min(len(theirs), TILE))
+        for i in range(0, len(own), step):
+            for j in range(0, len(theirs), TILE):
+                near = np.bitwise_count(sketch[own[i : i + step], None] ^ sketch[None, theirs[j : j + TILE]]) <= limit[i : i + step, None]
+                p, q = np.divmod(np.flatnonzero(near), near.shape[1])
+                if len(p):
+                    yield spans(own[i + p], theirs[j + q])
+    small = np.repeat(~large, asked)
+    evaluation, first, many, widest = evaluation[small], first[small], many[small], widest[small]
     sums = np.concatenate([[0], np.cumsum(many)])
-    size = x["size"].astype(np.int64)
+    ordered = sketch[train]
     a = 0
     while a < len(evaluation):
         b = max(a + 1, int(np.searchsorted(sums, sums[a] + BLOCK, side="right")) - 1)
-        i = np.repeat(evaluation[a:b], many[a:b])
-        j = train[_take(first[a:b], many[a:b])]
+        i = np.repeat(np.arange(a, b), many[a:b])
+        j = _take(first[a:b], many[a:b])
+        near = np.flatnonzero(np.bitwise_count(sketch[evaluation[i]] ^ ordered[j]) <= widest[i])
+        if len(near):
+            yield spans(evaluation[i[near]], train[j[near]])
         a = b
-        both = size[i] + size[j]
-        most = tau(both, t)
-        ok = (np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]) <= most) & (np.abs(size[i] - size[j]) <= most)
-        i, j, both, most = i[ok], j[ok], both[ok], most[ok]
-        if len(i):
-            differ = x["ahead"][i] ^ x["ahead"][j]
-            alike_ahead = np.full(len(i), AHEAD)
-            for k in range(AHEAD):
-                alike_ahead[(differ >> np.uint32(8 * k)) & np.uint32(255) != 0] = AHEAD - 1 - k
-            yield {"eval_name": x["name"][i], "train_name": x["name"][j], "pos": x["pos"][i], "length": np.minimum(span + alike_ahead, size[i] + 2 - x["pos"][i]), "least": np.maximum(span, (both - most) // 2 + 2 - most * (span - 1))}
 
 
 def _table_of_starts(sets: DataFrame, span: int) -> np.ndarray:

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scriptorium.llm.marks import is_empty
 from scriptorium.runtime import read_table
 
+THAI = re.compile("[฀-๿]")
 TERMINATOR = re.compile(r"[.!?‼⁇⁈⁉…]+|[。！？｡．।॥؟۔።፧၊။។៕᠃᠉܀-܂꓿꘎꘏]+[!?！？]*")
 MARKERS = re.compile(r"(?:\s*\[\s*S\s*\d+(?:\s*[,;]\s*S?\s*\d+)*\s*\])+", re.I)
 CLOSERS = "\"”“’»)]}」』）】"
 OPENERS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "‹": "›"}
-#: A quotation that isn't closed within this many characters is none.
-LONGEST_QUOTE = 1000
+OPENING = re.compile("[\"“«„「『‹]")
+PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 SPACE = " \t\r\n\f\v   ​  　﻿\x85"
 #: Abbreviations that never end a sentence, and those that do before a capital. Fixed values, lower case, without last dot.
 NEVER = {
@@ -53,26 +54,23 @@ LIST_HEAD = re.compile(r"\(?(?:\d{1,3}|[A-Za-z]|[ivxlcIVXLC]{1,6})$")
 
 
 def quotations(text: str) -> list[tuple[int, int]]:
-    """(opening, closing) positions of quotations; nested ones belong to the outer."""
-    out, i, n = [], 0, len(text)
-    while i < n:
-        c = text[i]
-        close = OPENERS.get(c)
-        if c == '"' and (i == 0 or text[i - 1] in SPACE or text[i - 1] in "([:—–-，、：,。"):
-            close = '"'
-        if close:
-            stop = min((k for k in (text.find(x, i + 1, i + LONGEST_QUOTE) for x in close) if k > 0), default=-1)
-            if stop > 0:
-                out.append((i, stop))
-                i = stop
-        i += 1
+    """(opening, closing) positions of quotations; nested ones belong to the outer. A quotation that its paragraph doesn't close is none."""
+    out, done = [], 0
+    for m in OPENING.finditer(text):
+        i = m.start()
+        if i < done:
+            continue
+        if m[0] == '"' and not (i == 0 or text[i - 1] in SPACE or text[i - 1] in "([:—–-，、：,。"):
+            continue
+        close = OPENERS.get(m[0], '"')
+        end = PARAGRAPH.search(text, i)
+        stop = min((k for k in (text.find(x, i + 1, end.start() if end else len(text)) for x in close) if k > 0), default=-1)
+        if stop > 0:
+            out.append((i, stop))
+            done = stop + 1
     return out
 
 
-def is_thai(c: str) -> bool:
-    return "฀" <= c <= "๿"
-
-
 def is_dense(c: str) -> bool:
     """A character of a script that writes sentences without white space between them."""
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "！" <= c <= "｠"
@@ -111,7 +109,7 @@ def sentence_ends(text: str) -> list[int]:
     opens = [a for a, _ in quotes]
     ends: list[int] = []
     start = 0
-    thai = any(map(is_thai, text))
+    thai = not text.isascii() and THAI.search(text) is not None
     stops = [(m.start(), m.end(), True) for m in TERMINATOR.finditer(text)]
     if thai:
         stops = sorted(stops + [(m.start(), m.start(), False) for m in re.finditer(r"(?<=\S)\s+(?=\S)", text)])
@@ -120,7 +118,7 @@ def sentence_ends(text: str) -> list[int]:
             continue
         if not real:
             own = text[start:a]
-            if not any(map(is_thai, own)):
+            if not THAI.search(own):
                 continue
             if MARKERS.match(text, a):
                 end = MARKERS.match(text, a).end()

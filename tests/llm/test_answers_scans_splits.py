@@ -128,6 +128,21 @@ def test_groups_equal_union_find(spark):
     assert splits.group_labels(df.limit(0)).count() == 0
 
 
+def test_copies_edited_repeated_and_wrapped():
+    q = "Who bears the cost of the formwork if the tribunal upheld the levy during the inspection at the Oakdale Depot on 3 May 2011?"
+    for a in (q, q.upper(), q + " " + q, f"{q}\n{q} [S1]", "You asked: " + q, "The question is as follows. " + q, q.replace("upheld", "upholds"), q[:-1]):
+        assert defects.copies(q, a), a
+    for a in ("The contractor bears the cost.", "Who pays?", "the formwork", "", q.replace("formwork", "gantry").replace("levy", "curing").replace("Oakdale", "Kelso").replace("3 May 2011", "9 June 1998"), "The cost of the formwork is borne by the tribunal if the levy was upheld, and by the employer if it was refused before the inspection. " * 2):
+        assert not defects.copies(q, a), a
+
+
+def test_long_quotations_end_nothing():
+    inner = "No levy is due. " * 200
+    text = f"The letter said: “{inner.strip()}” and the tribunal relied on it. It agreed."
+    assert [text[:e][-9:] for e in sentences.sentence_ends(text)] == ["ed on it.", "t agreed."]
+    assert len(sentences.sentence_ends("He wrote “open. It ended.\n\nA new one starts. Here” it is.")) > 2
+
+
 def test_agreements_however_written(spark):
     same = ["as in contract BX0417-16?", "CONTRACT BX 417/2016 said", "under bx-417-16, who pays?", "the BX/417/16 rate", "pays BX 417/16 first", "bx417/16", "Agreement Number: bx.0417.16", "agmt. no BX 417 16 applies", "per agreement no. BX-417/16."]
     other = ["contract BX0417-17", "rate of 417.16 lakh", "pages p12-16 and pp417-16a", "on 4/17/2016", "drops to 417.16", "clause 4.17 of 2016", "BX 417", "of 417/16", "AA-417-16"]
