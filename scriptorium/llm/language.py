@@ -7,7 +7,7 @@ predecessors only, so the lengths for all languages are tabulated per byte n-gra
 batch of documents is scored with array look-ups: one pass over the corpus, no shuffle.
 
 The classifier is fitted on at most `sample_docs` labelled documents per label (those with the smallest
-hash of their id). Labels are wrong now and then and documents mix languages, so the lines are fitted
+hash of their id, SAMPLE_CHARS characters of each). Labels are wrong now and then and documents mix languages, so the lines are fitted
 twice: lines that a first model gives to another language are left out of the second, and lines in Latin
 letters from documents labelled as Hindi that no Latin model explains become a romanised model of Hindi.
 
@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from scriptorium.runtime import read_table
 
 ORDER = 3
-SAMPLE_DOCS = 400
+#: Documents per label that the classifier is fitted on, and characters of each.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 MIN_LETTERS = 20
 #: Code-length differences are divided by this before they become a confidence; bytes of a line aren't independent.
 TEMPER = 8.0
@@ -213,7 +214,7 @@ def fit(samples: list[tuple[str, str]]) -> Contexts:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Contexts:
-    """Fits on at most `sample_docs` documents per label and 20,000 characters of each."""
+    """Fits on at most `sample_docs` documents per label and SAMPLE_CHARS characters of each; no more than that reaches the driver."""
     w = Window.partitionBy("code").orderBy("h", "doc_id")
     rows = (
         docs.select("doc_id", "text", code_of(F.col("lang")).alias("code"))
@@ -225,8 +226,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Contexts:
     chosen = {r.doc_id: r.code for r in rows.collect()}
     if not chosen:
         return Contexts({})
-    texts = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(chosen))).collect()
-    return fit(sorted((chosen[r.doc_id], r.text[:20_000]) for r in texts if r.text))
+    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter(F.col("doc_id").isin(list(chosen))).collect()
+    return fit(sorted((chosen[r.doc_id], r.text) for r in texts if r.text))
 
 
 def label_lines(docs: DataFrame, model: Contexts | None = None) -> DataFrame:

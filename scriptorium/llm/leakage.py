@@ -1,11 +1,12 @@
 """Problem 9: evaluation passages inside training documents.
 
-A generalised suffix automaton of the test items' words is built once on the driver (items are a
-fixed, checked number of words) and broadcast; documents are streamed through it in Arrow batches,
-so the corpus is read once and never shuffled before the leaks, which are few, are made distinct.
+A generalised suffix automaton of the test items' words is built once on the driver and broadcast; documents are streamed
+through it in Arrow batches, so the corpus is read once and never shuffled before the leaks, which are few, are made distinct.
+The words of the items are counted first: beyond MAX_ITEM_WORDS the items are dealt to as many automata as they need, built
+one after the other, and the corpus is read once for each.
 
 A word is a run of a-z and 0-9 after lower-casing. A word broken at a line end counts as whole: its
-halves are joined if the joined form occurs in a test item, else they stay two words (a compound
+halves are joined if the joined form occurs in a test item of the automaton, else they stay two words (a compound
 that kept its own hyphen). Blanks, marks and case play no part.
 
 Defined results: null and empty texts and passages hold nothing; repeated documents or items count once
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scriptorium.runtime import read_table
 
 MIN_WORDS = 16
-#: The automaton is broadcast, so the test material must stay below this many words (about 400 MB at most).
+#: Words of one automaton (about 400 MB at most in each worker). More test material is dealt to several, by hash of the item; each streams the corpus once.
 MAX_ITEM_WORDS = 2_000_000
 WORD = re.compile(r"[a-z0-9]+")
 #: A hyphen of any kind between two halves of a word, with a line end after it.
@@ -113,66 +115,81 @@ def join_broken(lowered: str, known) -> str:
     return BROKEN.sub(lambda m: m[1] + m[2] if not known or m[1] + m[2] in known else m[1] + " " + m[2], lowered)
 
 
-def _matcher(spark: SparkSession, items: DataFrame, min_words: int):
-    """Broadcast automaton; the size of the test material is checked before it is collected."""
+def _matchers(spark: SparkSession, items: DataFrame, min_words: int, most: int | None = None) -> list:
+    """Broadcast automata that hold all items between them, each about `most` words at most."""
     clean = items.select("item_id", "passage").filter("passage IS NOT NULL").dropDuplicates()
     size = clean.agg(F.coalesce(F.sum(F.regexp_count("passage", F.lit("[A-Za-z0-9]+"))), F.lit(0))).first()[0]
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"{size} words of test material; run it in parts of at most {MAX_ITEM_WORDS} words")
-    rows = sorted((r.item_id, r.passage) for r in clean.collect())
-    return spark.sparkContext.broadcast(ItemAutomaton(rows, min_words))
+    shards = max(1, -(-size // (most or MAX_ITEM_WORDS)))
+    out = []
+    for k in range(shards):
+        own = clean.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(shards)) == k)
+        out.append(spark.sparkContext.broadcast(ItemAutomaton(sorted((r.item_id, r.passage) for r in own.collect()), min_words)))
+    return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, most: int | None = None) -> DataFrame:
     """(doc_id, item_id, first_word, n_words): each stretch of a document that stands in a test item."""
-    automaton = _matcher(docs.sparkSession, items, min_words)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = automaton.value
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf.doc_id, pdf.text):
-                for first, end, held in a.spans(WORD.findall(join_broken(text.lower(), a.words))):
-                    rows += [(doc_id, item, first, end - first) for item in held]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "n_words"])
+    def scan(automaton):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            a = automaton.value
+            for pdf in batches:
+                rows = []
+                for doc_id, text in zip(pdf.doc_id, pdf.text):
+                    for first, end, held in a.spans(WORD.findall(join_broken(text.lower(), a.words))):
+                        rows += [(doc_id, item, first, end - first) for item in held]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "n_words"])
+
+        return run
 
-    return docs.select("doc_id", "text").filter("text IS NOT NULL").mapInPandas(scan, "doc_id long, item_id long, first_word int, n_words int")
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    found = [rows.mapInPandas(scan(m), "doc_id long, item_id long, first_word int, n_words int") for m in _matchers(docs.sparkSession, items, min_words, most)]
+    return reduce(DataFrame.unionByName, found)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_share: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_share: float = 0.5, most: int | None = None) -> DataFrame:
     """(doc_id, text, removed_words, dropped): leaked spans cut out; a document of which they make up more than `max_share` is dropped as a whole (text NULL)."""
-    automaton = _matcher(docs.sparkSession, items, min_words)
+
+    def mark(automaton):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            a = automaton.value
+            for pdf in batches:
+                spans = []
+                for text, before in zip(pdf.text, pdf.spans):
+                    own = [dict(s) for s in before]
+                    if text is not None:
+                        words, places = located(text, a.words)
+                        own += [{"first": places[i][0], "stop": places[j - 1][1]} for i, j, _ in a.spans(words)]
+                    spans.append(own)
+                yield pd.DataFrame({"doc_id": pdf.doc_id, "text": pdf.text, "spans": spans})
+
+        return run
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = automaton.value
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf.doc_id, pdf.text):
+            for doc_id, text, spans in zip(pdf.doc_id, pdf.text, pdf.spans):
                 if text is None:
                     rows.append((doc_id, None, 0, False))
                     continue
-                words, places = located(text, a.words)
-                bad = [False] * len(words)
-                for first, end, _ in a.spans(words):
-                    bad[first:end] = [True] * (end - first)
-                gone = sum(bad)
-                if gone > max_share * max(1, len(words)):
+                _, places = located(text, ())
+                kept, pos, gone = [], 0, 0
+                for first, stop in sorted((s["first"], s["stop"]) for s in spans):
+                    if first > pos:
+                        kept.append(text[pos:first])
+                    pos = max(pos, stop)
+                    places, gone = [p for p in places if not first <= p[0] < stop], gone + sum(first <= p[0] < stop for p in places)
+                if gone > max_share * max(1, len(places) + gone):
                     rows.append((doc_id, None, gone, True))
-                    continue
-                kept, pos, i = [], 0, 0
-                while i < len(words):
-                    if bad[i]:
-                        j = i
-                        while j < len(words) and bad[j]:
-                            j += 1
-                        kept.append(text[pos : places[i][0]])
-                        pos, i = places[j - 1][1], j
-                    else:
-                        i += 1
-                rows.append((doc_id, "".join([*kept, text[pos:]]), gone, False))
+                else:
+                    rows.append((doc_id, "".join([*kept, text[pos:]]), gone, False))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "removed_words", "dropped"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, text string, removed_words int, dropped boolean")
+    kind = "array<struct<first:int,stop:int>>"
+    rows = docs.select("doc_id", "text", F.array().cast(kind).alias("spans"))
+    for m in _matchers(docs.sparkSession, items, min_words, most):
+        rows = rows.mapInPandas(mark(m), f"doc_id long, text string, spans {kind}")
+    return rows.mapInPandas(cut, "doc_id long, text string, removed_words int, dropped boolean")
 
 
 def located(text: str, known) -> tuple[list[str], list[tuple[int, int]]]:

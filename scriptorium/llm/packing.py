@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from scriptorium.runtime import read_table
+from scriptorium.runtime import read_table, write_out
 
 CAPACITY = 8192
 #: Combinations of at most this many items are enumerated for the least-squares step.
@@ -194,7 +194,8 @@ def items(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 500_000) -> DataFrame:
     """Contents of every container: (container_id, doc_id, piece_no, start_char, end_char, n_tokens)."""
     spark = docs.sparkSession
-    pieces = items(docs, capacity).dropDuplicates(["doc_id", "piece_no"])
+    # Written once: the histogram, the offsets and the placing read ids and sizes, not the texts again.
+    pieces = write_out(items(docs, capacity).dropDuplicates(["doc_id", "piece_no"]))
     # At most `capacity` rows, however many documents there are.
     histogram = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}
     slots = spark.sparkContext.broadcast(slot_table(plan_patterns(histogram, capacity)))

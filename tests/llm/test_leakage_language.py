@@ -34,10 +34,17 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), items).count() == 0 and leakage.leaks(d, items.limit(0)).count() == 0
 
 
-def test_too_much_test_material_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_ITEM_WORDS", 3)
-    with pytest.raises(ValueError):
-        leakage.leaks(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d")], "item_id long, passage string"))
+def test_several_automata_find_the_same(spark):
+    rng = random.Random(5)
+    passages = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(40)) for _ in range(30)]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
+    docs = [(i, "x y " + " ".join(passages[i % 30].split()[5:30]) + " z " + " ".join(passages[(i * 7) % 30].split()[:18])) for i in range(60)] + [(90, None), (91, "nothing")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(map(tuple, leakage.leaks(d, items).collect()))
+    assert len(leakage._matchers(spark, items, 16, 100)) > 5
+    assert sorted(map(tuple, leakage.leaks(d, items, most=100).collect())) == one and len(one) >= 120
+    whole = sorted(map(str, leakage.decontaminate(d, items, max_share=1.0).collect()))
+    assert sorted(map(str, leakage.decontaminate(d, items, max_share=1.0, most=100).collect())) == whole
 
 
 SAMPLES = {
