@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -196,3 +197,19 @@ def test_splits_keep_groups_and_proportions(spark):
     assert all(len(s) == 1 for s in by.values())
     share = {s: sum(r.split == s for r in got) / 4000 for s in ("train", "validation", "test")}
     assert abs(share["train"] - 0.8) < 0.03 and abs(share["validation"] - 0.1) < 0.02 and abs(share["test"] - 0.1) < 0.02
+
+
+def test_line_model_is_fitted_and_keeps_its_states():
+    texts = [["text", "page", "title", "text", "blank", "text"], ["text", "caps", "text", "tail"]] * 300
+    seen, step = scans.fit_lines(texts)
+    for row in (*seen.values(), *step.values()):
+        assert abs(sum(math.exp(w) for w in row) - 1) < 1e-9
+    assert scans.viterbi(["text", "page", "title", "text", "blank", "text"], (seen, step)) == ["body", "page_number", "header", "body", "break", "body"]
+    assert scans.fit_lines([])[0]["body"] != scans.fit_lines(texts)[0]["body"]
+
+
+def test_rare_words_are_no_errors():
+    reader = scans.Reader({"burn": 900, "mortar": 50}, [], least=100)
+    assert reader.correct("bum") is None and reader.correct("b0rn") is None  # as frequent as any word that isn't listed
+    assert scans.Reader({"mortar": 900}, [], least=100).correct("m0rtar") == "mortar"
+    assert scans.Reader({"mortar": 700}, [], least=100).correct("mortaf") is None
