@@ -8,17 +8,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.operators import sections
+from scriptorium.operators.ordered import Ordered
 
 
 def forward_fill(df: DataFrame, column: str, by: list[str], order: str, blank_is_null: bool = True) -> DataFrame:
-    """Fills nulls (and empty strings) with the last value before, within `by`."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Fills nulls (and empty strings) with the last value before, within `by`, as <column>_filled."""
     value = F.nullif(F.col(column), F.lit("")) if blank_is_null else F.col(column)
-    return df.withColumn(f"{column}_filled", F.last(value, ignorenulls=True).over(w))
+    return Ordered.of(df, by, [order]).filled(value, f"{column}_filled").done()
 
 
 def islands(df: DataFrame, starts: Column, by: list[str], order: str, name: str = "island") -> DataFrame:
-    """Numbers runs from 1: a row for which `starts` holds, or the first one, opens a new run. `starts` may use lag over (by, order)."""
+    """Numbers runs from 1: a row for which `starts` holds, or the first one, opens a new run. `starts` may use lag over (by, order).
+
+    For groups that fit a task (a user, a unit); runs of whole documents go by `Ordered`.
+    """
     w = Window.partitionBy(*by).orderBy(order)
     first = F.row_number().over(w) == 1
     flagged = df.withColumn("__s", (first | F.coalesce(starts, F.lit(False))).cast("int"))
@@ -31,10 +35,9 @@ def previous(column: str, by: list[str], order: str) -> Column:
 
 def line_groups(blocks: DataFrame, indent: float = 10, gap: float = 38) -> DataFrame:
     """Paragraph groups of (doc_id, ord, page, x0, y0, text): a new one at a numbered start, another page, another indent or a wide gap."""
-    by = ["doc_id"]
-    numbered = F.col("text").rlike(r"^\d{1,3}\.\s")
-    moved = (F.col("page") != previous("page", by, "ord")) | (F.abs(F.col("x0") - previous("x0", by, "ord")) > indent) | (F.col("y0") - previous("y0", by, "ord") > gap)
-    return islands(blocks, numbered | moved, by, "ord", "grp")
+    moved = (F.col("page") != F.col("previous_page")) | (F.abs(F.col("x0") - F.col("previous_x0")) > indent) | (F.col("y0") - F.col("previous_y0") > gap)
+    grouped = Ordered.of(blocks, ["doc_id"], ["ord"]).previous("page", "x0", "y0").islands(F.col("text").rlike(r"^\d{1,3}\.\s") | moved, "grp")
+    return grouped.done().drop("previous_page", "previous_x0", "previous_y0", "is_first")
 
 
 def noise_free(blocks: DataFrame, top: float = 80, bottom: float = 760) -> DataFrame:
@@ -43,12 +46,33 @@ def noise_free(blocks: DataFrame, top: float = 80, bottom: float = 760) -> DataF
     return blocks.filter((F.col("y1") >= top) & (F.col("y0") <= bottom) & (t != "") & ~tx.is_ruler(t) & ~tx.looks_broken(t))
 
 
-def reading_order(blocks: DataFrame, middle: float = 300) -> DataFrame:
-    """`ord` of two-column pages: bands end at full-width headings; in a band the left column goes before the right one."""
+def framed(blocks: DataFrame, mark: str, header: float = 50, footer: float = 70) -> DataFrame:
+    """Drops, by the height of the page (`height`), the running header that holds `mark` and numbers alone at the foot."""
+    t = F.trim("text")
+    head = (F.col("y1") < header) & F.contains(t, F.lit(mark))
+    foot = (F.col("y0") > F.col("height") - footer) & t.rlike(r"^\d+$")
+    return blocks.filter((t != "") & ~head & ~foot)
+
+
+def without_stamps(blocks: DataFrame, left: float, right: float) -> DataFrame:
+    """Drops page numbers and stamps that stand outside the text between `left` and `right`."""
+    return blocks.filter((F.col("x1") > left) & (F.col("x0") < right))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """Drops the lines of a signature block: names with dots for a place to sign, (SIGNED), date stamps."""
+    return lines.filter(~F.trim("text").rlike(r"(?i)^(?:[.…_ ]{4,}.*|\(?\s*(?:sd/?-?|signed|signature)\b.*|dated?\s*:.*)$"))
+
+
+def reading_order(blocks: DataFrame, middle: float = 300, slack: float = 15) -> DataFrame:
+    """`ord` of two-column pages: bands begin at headings of tables and appendices that span both columns (as all do where blocks have no x1); in a band the left column goes before the right one."""
     w = Window.partitionBy("doc_id", "page").orderBy("y0", "x0").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.col("text").rlike(r"^(?:TABLE|APPENDIX)\s")
-    banded = blocks.withColumn("band", F.sum(head.cast("int")).over(w)).withColumn("side", F.when(head, 0).when(F.col("x0") < middle, 1).otherwise(2))
-    return banded.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "band", "side", "y0", "x0")))
+    if "x1" in blocks.columns:
+        head = head & (F.col("x0") < middle - slack) & (F.col("x1") > middle + slack)
+    banded = blocks.withColumn("band", F.sum(head.cast("int")).over(w)).withColumn("side", F.when(head, 0).when(F.col("x0") < middle - slack, 1).otherwise(2))
+    ranked = Ordered.of(banded, ["doc_id"], ["page", "band", "side", "y0", "x0"]).running(F.lit(1), "ord")
+    return ranked.done()
 
 
 def sequential_numbers(paragraphs: Column) -> Column:
@@ -64,34 +88,10 @@ def sequential_numbers(paragraphs: Column) -> Column:
 
 
 def clause_segments(lines: DataFrame, gap: int = 2) -> DataFrame:
-    """(doc_id, ord, starts): the clause a line opens, if its number may follow the last one accepted; top-level ones need a dot and capitals.
-
-    A state machine over each document's candidate lines only; the lines without a number don't enter Python.
-    """
-    found = lines.select("doc_id", "ord", F.regexp_extract("text", r"^((?:[A-D]-)?[\dlI]{1,2}(?:\.\d{1,2}){0,4})(\.?)\s+([A-Z(]\S*)", 1).alias("raw"), F.regexp_extract("text", r"^((?:[A-D]-)?[\dlI]{1,2}(?:\.\d{1,2}){0,4})(\.?)\s+([A-Z(]\S*)", 2).alias("dot"), F.regexp_extract("text", r"^((?:[A-D]-)?[\dlI]{1,2}(?:\.\d{1,2}){0,4})(\.?)\s+([A-Z(]\S*)", 3).alias("head")).filter("raw <> ''")
-
-    def fits(prev: tuple[int, ...], new: tuple[int, ...]) -> bool:
-        if new == (*prev, 1):
-            return True
-        d = len(new) - 1
-        return d < len(prev) and new[:d] == prev[:d] and 0 < new[d] - prev[d] <= gap
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        prev: tuple[int, ...] = (0,)
-        out = []
-        for doc, place, raw, dot, head in pdf.sort_values("ord")[["doc_id", "ord", "raw", "dot", "head"]].itertuples(index=False):
-            letter, _, rest = raw.rpartition("-")
-            digits = rest.replace("l", "1").replace("I", "1").split(".")
-            if not all(d.isdigit() for d in digits):
-                continue
-            key = (*((ord(letter) - ord("A") + 101,) if letter else ()), *map(int, digits))
-            top = len(key) == 1 and not (dot and len(head) >= 3 and head.isupper())
-            if not top and (fits(prev, key) or (letter and prev[0] < key[0])):
-                prev = key
-                out.append((doc, place, ".".join(map(str, key))))
-        return pd.DataFrame(out, columns=["doc_id", "ord", "starts"])
-
-    return found.groupBy("doc_id").applyInPandas(run, "doc_id string, ord long, starts string")
+    """(doc_id, ord, starts): the clause that a line opens, if its number may follow the last one accepted; top-level ones need a dot and capitals."""
+    rows = lines.select("doc_id", "ord", "text", F.lit(0).alias("piece")).filter(F.col("text").rlike(rf"^{sections.NUMBER}"))
+    found = sections.accepted(sections.candidates(rows), gap)
+    return found.select("doc_id", "ord", F.array_join(F.transform("key", lambda k: k.cast("string")), ".").alias("starts"))
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import labels, text as tx
 from scriptorium.operators import curated, index, layout, pack, quality
+from scriptorium.operators.ordered import Ordered
 from scriptorium.plans import sqltext as sql
 from scriptorium.runtime import read_table
 
@@ -46,12 +47,9 @@ def clause_ids(spark, sf_dir):
 
 def clause_keys(spark, sf_dir):
     """Numbers of unit keys and whether each may follow the one before it in its document."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("unit_id")
     keyed = read_table(spark, sf_dir, "units").filter(F.col("unit_key").rlike(r"^(?:[A-D]-)?[\dlI]+(?:\.[\dlI]+)*$")).select("doc_id", "unit_id", tx.clause_key(F.col("unit_key")).alias("key"))
-    both = keyed.withColumn("prev", F.lag("key").over(w))
-    return both.select("doc_id", "unit_id", F.array_join(F.transform("key", lambda k: k.cast("string")), ".").alias("key"), F.coalesce(tx.is_successor(F.col("prev"), F.col("key")), F.lit(False)).alias("follows"))
+    both = Ordered.of(keyed, ["doc_id"], ["unit_id"]).previous("key").done()
+    return both.select("doc_id", "unit_id", F.array_join(F.transform("key", lambda k: k.cast("string")), ".").alias("key"), F.coalesce(tx.is_successor(F.col("previous_key"), F.col("key")), F.lit(False)).alias("follows"))
 
 
 def window_labels(spark, sf_dir):
@@ -84,8 +82,7 @@ def part_forward_fill(spark, sf_dir):
 def section_runs(spark, sf_dir):
     """Runs of neighbouring passages of one section."""
     c = read_table(spark, sf_dir, "chunks").select("doc_id", "pos", tx.section_family(F.col("section")).alias("family"))
-    changed = F.col("family") != layout.previous("family", ["doc_id"], "pos")
-    runs = layout.islands(c, changed, ["doc_id"], "pos", "run")
+    runs = Ordered.of(c, ["doc_id"], ["pos"]).previous("family").islands(F.col("family") != F.col("previous_family"), "run").done()
     return runs.groupBy("doc_id", "run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("passages"), F.min("family").alias("family"))
 
 
@@ -116,6 +113,11 @@ def group_units(spark, sf_dir):
     return w.select("doc_id", "first_unit", F.array_join("keys", ",").alias("keys"), "title", "part_no", "part_count", F.size("paragraphs").alias("paragraphs"), F.aggregate("paragraphs", F.lit(0), lambda a, p: a + tx.token_count(p["text"])).alias("tokens"))
 
 
+def unit_merging(spark, sf_dir):
+    """For each unit with paragraphs the unit that opens its window."""
+    return pack.merging(pack.sized_units(read_table(spark, sf_dir, "units")))
+
+
 def build_summary(spark, sf_dir):
     return quality.build_summary(read_table(spark, sf_dir, "chunks"))
 
@@ -148,7 +150,7 @@ def broken_tables(spark, sf_dir):
 QUERIES = {
     f.__name__: f for f in (
         normalize_text, join_lines_dehyphen, layout_noise, citation_labels, snippets, clause_ids, clause_keys, window_labels, alias_annotation, curated_parts, amendment_targets, part_forward_fill, section_runs,
-        gap_islands_events, paragraph_runs, window_packing, group_units, build_summary, build_violations, id_changes, fingerprint, gold_validation, uncovered_amendments, broken_tables,
+        gap_islands_events, paragraph_runs, window_packing, group_units, unit_merging, build_summary, build_violations, id_changes, fingerprint, gold_validation, uncovered_amendments, broken_tables,
     )
 }
 
@@ -204,6 +206,12 @@ SELECT unit_key || ' (part ' || (n + 1) || '/' || k || ')', title || ' (' || coa
     SELECT unit_id, sizes, i + 1, CASE WHEN i > 0 AND used + sizes[i + 1] > 400 THEN sizes[i + 1] ELSE used + sizes[i + 1] END, CASE WHEN i > 0 AND used + sizes[i + 1] > 400 THEN k + 1 ELSE k END,
       out || CASE WHEN i > 0 THEN ',' ELSE '' END || CASE WHEN i > 0 AND used + sizes[i + 1] > 400 THEN k + 1 ELSE k END FROM f WHERE i < len(sizes))
 SELECT unit_id, out AS windows FROM f WHERE i = len(sizes)""",
+    "unit_merging": f"""WITH RECURSIVE p AS (SELECT DISTINCT ON (unit_id) doc_id, unit_id, unit_group AS grp, coalesce(mergeable, FALSE) AS m, list_filter(paragraphs, lambda p: p.text IS NOT NULL) AS ps FROM units),
+  z AS (SELECT doc_id, unit_id, grp, m, CAST(list_sum(list_transform(ps, lambda p: {sql.token_count('p.text')})) AS BIGINT) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY unit_id) AS k FROM p WHERE len(ps) > 0),
+  f AS (SELECT doc_id, k, unit_id, grp, CASE WHEN size > 400 THEN -1 ELSE size END AS used, m AS open, unit_id AS head FROM z WHERE k = 1 UNION ALL
+    SELECT doc_id, k, unit_id, grp, CASE WHEN size > 400 THEN -1 WHEN j THEN used + size ELSE size END, m, CASE WHEN j THEN head ELSE unit_id END
+    FROM (SELECT z.*, f.used, f.head, f.used >= 0 AND z.grp IS NOT DISTINCT FROM f.grp AND CASE WHEN z.size > 400 THEN f.used < 50 ELSE f.open AND z.m AND f.used + z.size <= 400 END AS j FROM f JOIN z ON z.doc_id = f.doc_id AND z.k = f.k + 1))
+SELECT doc_id, unit_id, head FROM f""",
     "build_summary": f"""SELECT coalesce(doc_id, 'total') AS doc_id, count(*) AS passages, round_even(avg({sql.word_count('text')}), 1) AS avg_words, CAST(max({_SIZE}) AS INTEGER) AS max_tokens, count(*) FILTER (is_amendment) AS amendments, count(*) FILTER (source = 'curated') AS curated FROM chunks GROUP BY ROLLUP (doc_id)""",
     "build_violations": f"""SELECT chunk_id, 'duplicate id' AS problem FROM chunks GROUP BY chunk_id HAVING count(*) > 1 UNION ALL SELECT chunk_id, 'empty text' FROM chunks WHERE trim(coalesce(text, '')) = ''
 UNION ALL SELECT chunk_id, 'no pages' FROM chunks WHERE coalesce(len(pdf_pages), 0) = 0 UNION ALL SELECT chunk_id, 'too many tokens' FROM chunks WHERE {_SIZE} > 512""",

@@ -4,29 +4,60 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import curated, layout, pack
+from scriptorium.operators.ordered import Ordered
 from scriptorium.sources import model, records
 from scriptorium.streaming import resume
 
 
-def test_pack_invariants():
-    from hypothesis import given, settings, strategies as st
+UNIT = "unit_id long, doc_id string, unit_key string, unit_group string, title string, paragraphs array<struct<text:string,pdf_page:int,printed_page:string>>, mergeable boolean"
 
-    word = st.sampled_from(["alpha", "beta 12", "Gamma; Delta", "end. Next"])
 
-    @settings(max_examples=60, deadline=None)
-    @given(st.lists(st.lists(word, max_size=40).map(" ".join), max_size=8))
-    def check(texts):
-        windows = pack.pack([(t, 1, "1") for t in texts], 40, 10)
-        assert " ".join(p[0] for w in windows for p in w).split() == " ".join(texts).split()
-        assert all(sum(pack.tokens(p[0]) for p in w) <= 50 for w in windows)
+def size(text):
+    import re
 
-    check()
+    return len(re.findall(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", text or ""))
 
 
-def test_group_units():
+def test_pack_invariants(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["alpha", "beta 12", "Gamma; Delta", "end. Next", "x" * 30]
+    rows = []
+    for i in range(120):
+        paragraphs = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 8, 20, 40, 90]))) for _ in range(rng.randint(0, 6))]
+        rows.append((i, f"d{i % 7}", str(i), "g" if rng.random() < 0.8 else None, rng.choice(["", "t", None]), [(t, 1, "1") for t in paragraphs], rng.random() < 0.8))
+    got = pack.windows_of(spark.createDataFrame(rows, UNIT), 40, 10).orderBy("doc_id", "first_unit", "part_no").collect()
+    for d in range(7):
+        ours = " ".join(p.text for w in got if w.doc_id == f"d{d}" for p in w.paragraphs).split()
+        assert ours == " ".join(t[0] for r in rows if r[1] == f"d{d}" for t in r[5]).split()
+    assert all(sum(size(p.text) for p in w.paragraphs) <= 40 + 10 + 9 for w in got)
+    assert all(w.part_no <= w.part_count for w in got) and max(w.part_count for w in got) > 3
+
+
+def test_group_units(spark):
     p = lambda n: [("word " * n, 1, "1")]
-    w = pack.group_units([("1", "a", p(10), True), ("2", "b", p(10), True), ("3", "c", p(10), False), ("4", "d", [], True), ("5", "e", p(100), True), ("6", "f", p(5), True)], 40, 12)
-    assert [(x[0], x[3], x[4]) for x in w] == [(["1", "2"], 1, 1), (["3", "5"], 1, 3), (["5"], 2, 3), (["5"], 3, 3), (["6"], 1, 1)]
+    units = [("1", "a", p(10), True), ("2", "b", p(10), True), ("3", "c", p(10), False), ("4", "d", [], True), ("5", "e", p(100), True), ("6", "f", p(5), True), ("7", "g", p(5), True), ("7", "h", p(5), False)]
+    df = spark.createDataFrame([(i, "d", k, "x", t, ps, m) for i, (k, t, ps, m) in enumerate(units)], UNIT)
+    got = [(r.first_unit, r["keys"], r.title, r.part_no, r.part_count) for r in pack.windows_of(df, 40, 12).orderBy("first_unit", "part_no").collect()]
+    assert got == [(0, ["1", "2"], "a", 1, 1), (2, ["3", "5"], "c", 1, 3), (4, ["5"], "e", 2, 3), (4, ["5"], "e", 3, 3), (5, ["6", "7"], "f", 1, 1), (7, ["7"], "h", 1, 1)]
+
+
+def test_ordered_scans_equal_plain_windows(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 1, 2, 3])) for i in range(500)]
+    o = Ordered.of(spark.createDataFrame(rows, "doc string, ord long, v int"), ["doc"], ["ord"])
+    got = {r.ord: r for r in o.previous("v", "ord").running(F.coalesce("v", F.lit(0)), "total").filled(F.col("v"), "last").islands(F.col("v") == 1, "run").done().collect()}
+    state = {}
+    for doc, i, v in rows:
+        before, total, last, run = state.get(doc, ((None, None), 0, None, 0))
+        total, last, run = total + (v or 0), v if v is not None else last, run + (doc not in state or v == 1)
+        r = got[i]
+        assert (r.previous_v, r.previous_ord, r.total, r["last"], r.run, r.is_first) == (*before, total, last, run, doc not in state)
+        state[doc] = ((v, i), total, last, run)
+    assert Ordered.of(spark.createDataFrame(rows, "doc string, ord long, v int").limit(0), ["doc"], ["ord"]).previous("v").done().count() == 0
 
 
 def test_windows_of(spark):
