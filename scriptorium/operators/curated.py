@@ -40,7 +40,8 @@ def amendment_items(amendments: DataFrame, doc: str) -> DataFrame:
 
 def absorb(chunks: DataFrame, provisions: DataFrame) -> DataFrame:
     """Adds provisions (provision, host, signature) to `covers` of the passages that cover their host and match their pattern. Provisions without any passage raise."""
-    rows = chunks.select("pos", "covers", "text").join(provisions, F.expr("array_contains(covers, host) AND regexp_like(text, signature)"))
+    hosts = chunks.select("pos", "text", F.explode(F.array_distinct("covers")).alias("host"))
+    rows = hosts.join(provisions.select("provision", "host", "signature"), "host").filter(F.regexp_like("text", F.concat(F.lit("(?i)"), "signature")))
     found = rows.groupBy("pos").agg(F.array_sort(F.collect_set("provision")).alias("more"))
     lost = provisions.join(rows.select("provision").distinct(), "provision", "left_anti").limit(10).collect()
     if lost:

@@ -13,35 +13,34 @@ from scriptorium.sources.model import Embedder, embed
 NEAR, POOL, TOP_N, LEAK = 0.8, 10, 50, 0.85
 
 
-#: Most differing words that a level finds, each with one segment more.
-LEVELS = (7, 15, 31, 63, 127, 255, 511, 1023)
+#: Sets of at most this many words are joined on pairs of rare words, larger ones on single ones.
+SHORT = 64
 
 
 def near_duplicates(questions: DataFrame, t: float = NEAR) -> DataFrame:
     """(i): questions that share at least a part t of their words with an earlier one, kept or not. questions is (i, question).
 
-    Sets of a and b words that alike differ in at most tau = (1-t)/(1+t) * (a+b) words, so of tau + 1 segments that words are dealt to by
-    hash one is equal: the join is on that segment. A sketch (a bit flipped per word) bounds the difference from below before
-    the words are compared. Equal sets are compared once. An empty set is like no other; the last level grows with the largest set.
+    Sets of n words that are alike share at least t * n of them, so their n - ceil(t * n) + 2 rarest words (in one order of all words) have two in
+    common: short sets are joined on pairs of these, which few sets share however common a word is. Of larger sets one of the
+    n - ceil(t * n) + 1 rarest words is the key. A sketch (a bit flipped per word) bounds the difference before the words are compared, and
+    equal sets are compared once. An empty set is like no other.
     """
     share = (1 - t) / (1 + t)
     listed = widen(questions.select("i", "question")).select("i", F.array_sort(F.array_distinct(tx.words(F.col("question")))).alias("ws")).filter(F.size("ws") > 0)
     sketch = F.expr("aggregate(ws, 0L, (acc, w) -> acc ^ shiftleft(1L, cast(pmod(xxhash64(w), 64L) AS int)))")
     sets = cut_lineage(listed.groupBy("ws").agg(F.min("i").alias("i")).withColumn("n", F.size("ws")).withColumn("sketch", sketch))
-    widest = max(LEVELS[0], int(share * 2 * (sets.agg(F.max("n")).first()[0] or 0) / t) + 1)
-    levels = [x for x in LEVELS if x < widest] + [min([x for x in LEVELS if x >= widest], default=widest)]
-    keyed = None
-    for low, top in zip([-1, *levels], levels):
-        # A set takes part if some partner of t*n to n/t words puts the pair on this level.
-        part = sets.filter((share * (F.col("n") * (1 + 1 / t)) >= low) & (share * (F.col("n") * (1 + t)) < top + 1))
-        dealt = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda s: F.filter("ws", lambda w: F.pmod(F.hash(w, F.lit(top)), F.lit(top + 1)) == s))
-        rows = part.select("i", "n", "sketch", F.posexplode(dealt).alias("seg", "own")).select("i", "n", "sketch", F.lit(top).alias("top"), F.lit(low).alias("low"), "seg", F.xxhash64("own").alias("key"))
-        keyed = rows if keyed is None else keyed.unionByName(rows)
-    a = keyed
-    b = keyed.select("top", "seg", "key", F.col("i").alias("j"), F.col("n").alias("n_j"), F.col("sketch").alias("sketch_j"))
-    tau = F.floor(share * (F.col("n") + F.col("n_j")) + 1e-9)
-    near = (F.col("i") < F.col("j")) & (tau > F.col("low")) & (tau <= F.col("top")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_j"))) <= tau)
-    pairs = a.join(b, ["top", "seg", "key"]).filter(near).select("i", "j").distinct()
+    each = sets.select("i", F.explode("ws").alias("w"))
+    ranked = each.join(each.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "w").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("by"))
+    rare = sets.select("i", "n", "sketch").join(ranked, "i").withColumn("must", F.ceil(F.col("n") * t - 1e-9).cast("int"))
+    first = F.transform(F.slice("by", 1, F.least(F.col("n"), F.col("n") - F.col("must") + 2)), lambda x: F.xxhash64(x["w"]))
+    pairs = F.flatten(F.transform(first, lambda x, k: F.transform(F.slice(first, k + 2, F.greatest(F.size(first) - k - 1, F.lit(0))), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    short = rare.filter(F.col("n") <= SHORT).select("i", "n", "sketch", F.explode(pairs).alias("key"))
+    single = F.transform(F.slice("by", 1, F.col("n") - F.col("must") + 1), lambda x: F.xxhash64(x["w"], F.lit(1)))
+    large = rare.filter(F.col("n") >= t * SHORT).select("i", "n", "sketch", F.explode(single).alias("key"))
+    keyed = cut_lineage(short.unionByName(large))
+    other = keyed.select("key", F.col("i").alias("j"), F.col("n").alias("n_j"), F.col("sketch").alias("sketch_j"))
+    near = (F.col("i") < F.col("j")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_j"))) <= share * (F.col("n") + F.col("n_j")) + 1e-9)
+    pairs = keyed.join(other, "key").filter(near).select("i", "j").distinct()
     x, y = sets.select("i", F.col("ws").alias("wi")), sets.select(F.col("i").alias("j"), F.col("ws").alias("wj"))
     alike = pairs.join(x, "i").join(y, "j").filter(tx.jaccard(F.col("wi"), F.col("wj")) >= t - 1e-9)
     # i is the earlier of the two first appearances; a repetition of a set comes after its first appearance in any case.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.operators import evaluate, index, prompt, rank
+from scriptorium.operators.ordered import Ordered
 from scriptorium.operators.search import Corpus, Ranked
 from scriptorium.plans import sqltext as sql
 from scriptorium.runtime import read_table
@@ -169,12 +170,12 @@ def score_summary(spark, sf_dir):
     """Least, upper median and greatest best cosine of answerable and unanswerable questions."""
     kinds = read_table(spark, sf_dir, "gold").select(F.col("id").alias("qid"), (F.col("question_type") != "unanswerable").alias("answerable"))
     rows = _best(spark, sf_dir).join(kinds, "qid").select("answerable", F.round("best_cosine", 6).alias("s"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("answerable").orderBy("s")
-    n = F.count(F.lit(1)).over(Window.partitionBy("answerable"))
-    ordered = rows.withColumn("k", F.row_number().over(w)).withColumn("n", n)
-    return ordered.groupBy("answerable").agg(F.min("s").alias("least"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("s"))).alias("upper_median"), F.max("s").alias("greatest"))
+    # Counts per score and running counts over them: no task holds all scores of a kind.
+    per = rows.groupBy("answerable", "s").agg(F.count(F.lit(1)).alias("n"))
+    sums = Ordered.of(per, ["answerable"], ["s"]).running(F.col("n"), "upto").done()
+    totals = per.groupBy("answerable").agg(F.sum("n").alias("all"), F.min("s").alias("least"), F.max("s").alias("greatest"))
+    at = sums.join(F.broadcast(totals), "answerable").filter(F.col("upto") >= F.floor(F.col("all") / 2) + 1)  # two rows
+    return at.groupBy("answerable").agg(F.first("least").alias("least"), F.min("s").alias("upper_median"), F.first("greatest").alias("greatest"))
 
 
 QUERIES = {
