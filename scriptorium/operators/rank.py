@@ -54,7 +54,10 @@ def bm25_ranking(terms: DataFrame, posts: DataFrame, stats: DataFrame, n: int, a
     bq = max(1, -(-queries // query_block))
     bp = max(1, -(-n // passage_block), min(spark.sparkContext.defaultParallelism, -(-n // 256)))
     q = weights.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int")).withColumn("bp", F.explode(F.sequence(F.lit(0), F.lit(bp - 1))))
-    p = posts.select("pos", F.xxhash64("tok").alias("term"), saturation(avgdl).alias("sat"), F.pmod(F.xxhash64("pos"), F.lit(bp)).cast("int").alias("pp")).withColumn("pq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+    # Only postings of tokens that are asked for are copied to the cells of their passages.
+    asked = weights.select(F.col("token").alias("term")).distinct()
+    posts = posts.withColumn("term", F.xxhash64("tok")).join(asked, "term", "left_semi")
+    p = posts.select("pos", "term", saturation(avgdl).alias("sat"), F.pmod(F.xxhash64("pos"), F.lit(bp)).cast("int").alias("pp")).withColumn("pq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.operators import evaluate, index, prompt, rank
 from scriptorium.operators.ordered import Ordered
 from scriptorium.operators.search import Corpus, Ranked
 from scriptorium.plans import sqltext as sql
-from scriptorium.runtime import read_table
+from scriptorium.runtime import ensure_checkpoint_dir, read_table
+from scriptorium.sources import records
 
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +23,14 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus.build(chunks_of(spark, sf_dir), vectors_of(spark, sf_dir))
+    """The passages with their index. It is stored in the shared folder under the files it was made from (names, sizes, times), so an
+    application builds it once for each state of the table; another state has another name."""
+    chunks, vectors = chunks_of(spark, sf_dir), vectors_of(spark, sf_dir)
+    state = hashlib.sha256("\n".join((spark.sparkContext.applicationId, *records.file_states(spark, f"{sf_dir}/chunks.parquet"))).encode()).hexdigest()[:24]
+    path = f"{ensure_checkpoint_dir(spark)}/index-{state}"
+    if records.exists(spark, f"{path}/totals/_SUCCESS"):
+        return Corpus.read(chunks, vectors, path)
+    return Corpus.build(chunks, vectors, path)
 
 
 def query_vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,10 +161,7 @@ def wins_losses(spark, sf_dir):
 
 def context_ablation(spark, sf_dir):
     r, gold = ranked_of(spark, sf_dir), evidence_of(spark, sf_dir)
-    contexts = None
-    for name, (pin, siblings, amendments) in evaluate.CONFIGS.items():
-        part = r.hits(pin=pin, siblings=siblings, amendments=amendments).select(F.lit(name).alias("config"), "qid", "pos")
-        contexts = part if contexts is None else contexts.unionByName(part)
+    contexts = r.hits_of(evaluate.CONFIGS).select("config", "qid", "pos")
     asked = gold.select("qid").distinct()
     rows = evaluate.support(contexts.join(asked, "qid", "left_semi"), gold, asked)
     return rows.groupBy("config").agg(F.count_if("found").alias("found"), F.count_if("fully").alias("fully"), F.round(F.avg("sent"), 4).alias("avg_sent"))

@@ -20,6 +20,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def file_states(spark: SparkSession, path: str) -> list[str]:
+    """Name, size and time of every file under a path, in order: what tells one state of a table from another without reading it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return sorted(out)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = (), missing_ok: bool = False) -> DataFrame:
     """Rows of JSON Lines files; blank lines are skipped. A malformed line or one without a required field fails the job and names itself.
     Where `missing_ok`, a path that doesn't exist has no rows."""
