@@ -149,11 +149,17 @@ def filter_cascade(spark, sf_dir, embedder=None):
 CODES = ("near-duplicate", "refers to 'the passage'", "copies a phrase from its passage", "too similar to a gold question", "passage not in BM25 or dense top 50", "no unrelated hard negative in the BM25 top 10")
 
 
-def drop_reasons(spark, sf_dir):
-    """Dropped questions by the code their reason opens with, most frequent first, ties in order of first sight."""
+def reason_code(reason):
+    """The code a reason opens with, 'none' without one."""
     code = F.lit("none")
     for c in CODES:
-        code = F.when(F.startswith("reason", F.lit(c)), c).otherwise(code)
+        code = F.when(F.startswith(reason, F.lit(c)), c).otherwise(code)
+    return code
+
+
+def drop_reasons(spark, sf_dir):
+    """Dropped questions by the code their reason opens with, most frequent first, ties in order of first sight."""
+    code = reason_code(F.col("reason"))
     d = read_table(spark, sf_dir, "dropped").select("dropped_id", "reason").dropDuplicates(["dropped_id"])
     per = d.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"), F.min("dropped_id").alias("first_id"))
     return per.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first_id")).cast("long"))  # one row per code
@@ -264,6 +270,11 @@ neg AS (SELECT p.qid, arg_min(n.chunk_id, l.rank) AS negative_id FROM positive p
 _NEAR = f"""w AS (SELECT val_id AS i, list_distinct({sql.words('query')}) AS ws FROM val WHERE query IS NOT NULL), near AS (SELECT DISTINCT b.i FROM w a JOIN w b ON a.i < b.i AND len(a.ws) > 0 AND len(a.ws) >= 0.8 * len(b.ws) AND len(b.ws) >= 0.8 * len(a.ws)
   WHERE len(list_intersect(a.ws, b.ws)) >= 0.8 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) - 1e-9)"""
 ORACLE = {
+    "near_duplicates": f"""WITH w AS (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT pair_id AS i, list_distinct({sql.words('query')}) AS ws FROM pairs WHERE query IS NOT NULL) WHERE len(ws) > 0),
+u AS (SELECT r, i, len(ws) AS n, unnest(ws) AS word FROM w), f AS (SELECT word, count(*) AS c FROM u GROUP BY word),
+p AS (SELECT r, i, word FROM (SELECT u.*, row_number() OVER (PARTITION BY r ORDER BY c, word) AS k FROM u JOIN f USING (word)) WHERE k <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.r AS ra, b.r AS rb FROM p a JOIN p b ON a.word = b.word AND a.i < b.i)
+SELECT DISTINCT y.i FROM c JOIN w x ON x.r = ra JOIN w y ON y.r = rb WHERE len(list_intersect(x.ws, y.ws)) >= 0.8 * len(list_distinct(list_concat(x.ws, y.ws))) - 1e-9""",
     "source_markers": f"SELECT result_id, coalesce(array_to_string({sql.source_numbers('answer')}, ','), '') AS sources FROM {_R} WHERE answer IS NOT NULL",
     "numbers_normalised": f"SELECT result_id, coalesce(array_to_string(list_sort({sql.numbers_in(sql.without_markers('answer'))}), ','), '') AS numbers FROM {_R} WHERE answer IS NOT NULL",
     "tidy_answers": f"SELECT result_id, {sql.trim(r'''regexp_replace(regexp_replace(answer, '\\[\[\]()]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')''')} AS tidy FROM {_R}",
