@@ -188,7 +188,7 @@ ORACLE = {
 SELECT doc_id, unit_id, array_to_string(key, '.') AS key, coalesce((len(key) = len(prev) + 1 AND key[:len(prev)] = prev AND key[-1] = 1)
   OR (len(key) <= len(prev) AND key[:len(key) - 1] = prev[:len(key) - 1] AND key[-1] - prev[len(key)] BETWEEN 1 AND 2), FALSE) AS follows FROM b""",
     "window_labels": "SELECT window_id, 'Cl. ' || CASE WHEN unit_keys[1] = unit_keys[-1] THEN unit_keys[1] ELSE unit_keys[1] || '-' || unit_keys[-1] END || CASE WHEN part_count > 1 THEN ' (part ' || part_no || '/' || part_count || ')' ELSE '' END AS label FROM windows",
-    "alias_annotation": f"SELECT pos, CASE WHEN a <> text THEN a || chr(10) || chr(10) || '{LEGEND}' ELSE a END AS annotated FROM (SELECT pos, text, {_annotate_sql()} AS a FROM chunks)",
+    "alias_annotation": f"SELECT pos, CASE WHEN a <> text THEN a || chr(10) || '{LEGEND}' ELSE a END AS annotated FROM (SELECT pos, text, {_annotate_sql()} AS a FROM chunks)",
     "curated_parts": f"""SELECT unit_key AS section, title, '' AS text, '' AS parent FROM units WHERE len(paragraphs) = 0 UNION ALL
 SELECT unit_key || ' (part ' || (n + 1) || '/' || k || ')', title || ' (' || coalesce(p.printed_page, '?') || ')', concat_ws(chr(10) || chr(10), nullif(coalesce(title, ''), ''), coalesce(p.text, '')), unit_key
   FROM (SELECT unit_key, title, len(paragraphs) AS k, unnest(paragraphs) AS p, generate_subscripts(paragraphs, 1) - 1 AS n FROM units)""",

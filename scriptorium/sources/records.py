@@ -91,12 +91,22 @@ def read_snapshot(spark: SparkSession, path: str, version: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/version={version}").drop("version")
 
 
-def read_yaml(spark: SparkSession, path: str, tables: str, amendments: str) -> tuple[DataFrame, DataFrame]:
-    """(tables, amendments) of a hand-written YAML file, with the given schemas."""
+def read_yaml(spark: SparkSession, path: str, missing_ok: bool = False) -> dict:
+    """A hand-written YAML file, from any file system that Spark reads; where `missing_ok`, one that doesn't exist is empty."""
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("reading YAML needs the yaml package") from e
-    with open(path, encoding="utf-8") as f:
-        data = yaml.safe_load(f) or {}
-    return spark.createDataFrame(data.get("tables") or [], tables), spark.createDataFrame(data.get("amendments") or [], amendments)
+    if missing_ok and not exists(spark, path):
+        return {}
+    row = spark.read.text(path, wholetext=True).first()
+    return (yaml.safe_load(row.value) if row else None) or {}
+
+
+def read_curated(spark: SparkSession, folder: str, doc_id: str, doc_title: str, content: str = "curated.yaml", aliases: str = "aliases.yaml") -> DataFrame:
+    """Passages of a folder of hand-made content: tables and amendments, and names that have changed (apply_to, legend, aliases), which may be missing."""
+    from scriptorium.operators import curated
+
+    data, names = read_yaml(spark, f"{folder}/{content}"), read_yaml(spark, f"{folder}/{aliases}", missing_ok=True)
+    rows = lambda kind, schema: spark.createDataFrame([{f.name: x.get(f.name) for f in T._parse_datatype_string(schema).fields} for x in data.get(kind) or []], T._parse_datatype_string(schema))
+    return curated.passages(rows("tables", curated.TABLES), rows("amendments", curated.AMENDMENTS), doc_id, doc_title, dict(names.get("aliases") or {}), tuple(names.get("apply_to") or ()), names.get("legend") or "")

@@ -96,12 +96,13 @@ def test_html_blocks(spark):
 def test_curated(spark):
     df = spark.createDataFrame([("Madras and Madras [now Chennai]",), ("none",)], "t string")
     got = [r.a for r in df.select(curated.annotate(F.col("t"), {"Madras": "Chennai"}, "note").alias("a")).collect()]
-    assert got == ["Madras [now Chennai] and Madras [now Chennai]\n\nnote", "none"]
+    assert got == ["Madras [now Chennai] and Madras [now Chennai]\nnote", "none"]
     t = spark.createDataFrame([("Table 2", "K", None, "head", [("a", "1"), ("b", "2")], ""), ("Table 3", "L", "whole", None, None, None)], "section string, title string, text string, header string, parts array<struct<label:string,text:string>>, footer string")
     assert sorted(tuple(r) for r in curated.table_parts(t).collect()) == [("Table 2 (part 1/2)", "K (a)", "head\n\n1", "Table 2"), ("Table 2 (part 2/2)", "K (b)", "head\n\n2", "Table 2"), ("Table 3", "L", "whole", "")]
-    a = spark.createDataFrame([(1, "May 2000", [(["Cl. 1"], "new", "why"), ([], "all", None)])], "number int, date string, items array<struct<amends:array<string>,text:string,explanation:string>>")
-    got = curated.amendment_items(a, "doc").orderBy("section").collect()
-    assert got[0].text == "new\n\n[Explanation: why]" and got[0].chunk_id == "doc:amendment-no-1-may-2000-item-1" and got[1].amends == []
+    a = spark.createDataFrame([(1, "May 2000", [9], [(["Cl. 1"], "new", "why"), ([], "all", None)])], curated.AMENDMENTS)
+    got = curated.amendment_items(a, "doc", "The Code").orderBy("section").collect()
+    assert got[0].text == "Amendment No. 1 (May 2000) to The Code. new [Curator's explanation: why]" and got[0].chunk_id == "doc:amd1:item-1" and got[0].title == "Amendment No. 1 (May 2000) - amends Cl. 1"
+    assert got[1].amends == [] and got[1].title.endswith("all clauses") and got[1].text.endswith("The Code. all")
     c = spark.createDataFrame([(1, ["Cl. 5"], "has sign here"), (2, ["Cl. 5"], "no")], "pos long, covers array<string>, text string")
     p = spark.createDataFrame([("Fig. 9", "Cl. 5", "sign")], "provision string, host string, signature string")
     assert curated.absorb(c, p).filter("array_contains(covers, 'Fig. 9')").select("pos").first().pos == 1
@@ -109,6 +110,25 @@ def test_curated(spark):
         curated.absorb(c, p.withColumn("signature", F.lit("absent")))
 
 
+def test_curated_files_become_passages(spark, tmp_path):
+    (tmp_path / "curated.yaml").write_text("""
+tables:
+  - {section: Table 2, title: Factors, part: Tables, pdf_pages: [7], printed_pages: ['3'], header: head, footer: foot, parts: [{label: a, text: 'Madras 50'}, {label: b, text: two}]}
+  - {section: Appendix A, title: Speeds, pdf_pages: [8], printed_pages: ['4'], covers: [Appendix A, Fig. 1], text: ' Madras 50 '}
+amendments:
+  - {number: 2, date: May 1998, pdf_pages: [64], items: [{amends: [Table 2], text: 'Substitute it.', explanation: It changes.}]}
+""")
+    rows = {r.section: r for r in records.read_curated(spark, str(tmp_path), "d", "The Code").collect()}
+    assert rows["Appendix A"].text == "Madras 50" and rows["Appendix A"].covers == ["Appendix A", "Fig. 1"] and rows["Table 2 (part 1/2)"].text == "head\n\nMadras 50\n\nfoot"
+    assert rows["Table 2 (part 2/2)"].parent == "Table 2" and rows["Table 2 (part 2/2)"].covers == ["Table 2"] and rows["Amendment No. 2, item 1"].is_amendment
+    (tmp_path / "aliases.yaml").write_text("{apply_to: [Appendix A], legend: note, aliases: {Madras: Chennai}}")
+    rows = {r.section: r.text for r in records.read_curated(spark, str(tmp_path), "d", "The Code").collect()}
+    assert rows["Appendix A"] == "Madras [now Chennai] 50\nnote" and "now" not in rows["Table 2 (part 1/2)"]
+    (tmp_path / "aliases.yaml").write_text("{apply_to: [Appendix Z]}")
+    with pytest.raises(ValueError, match="Appendix Z"):
+        records.read_curated(spark, str(tmp_path), "d", "The Code")
+
+
 def test_jsonl(spark, tmp_path):
     path = tmp_path / "g.jsonl"
     row = {"id": "g", "question": "q", "doc": "gcw", "question_type": "fact", "wording": "natural", "answer": "a"}
