@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm.marks import is_empty
+from scriptorium.llm.marks import is_empty, language
 from scriptorium.runtime import read_table
 
 THAI = re.compile("[฀-๿]")
@@ -46,6 +46,8 @@ ALL_NEVER = frozenset().union(*NEVER.values())
 #: These suppress only before a digit; without one they may be words.
 BEFORE_DIGIT = {"no", "nos", "p", "s", "m", "n", "u", "d", "i", "o", "al", "art", "min", "max", "st", "ch", "me", "fr", "ms", "str", "hr", "gen", "ref", "sec", "para", "abs"}
 SURE = ALL_NEVER - BEFORE_DIGIT
+#: Of the language of a text; where that can't be told, of all.
+SURE_IN = {code: frozenset(words - BEFORE_DIGIT) for code, words in NEVER.items()} | {"zh": frozenset(), "th": frozenset(), None: SURE}
 GERMAN_MONTHS = ("Januar", "Jänner", "Februar", "März", "Marz", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 GERMAN_DAY = re.compile(r"(?i)(?:^|\s)(?:am|vom|bis|zum|den|dem|seit|ab)\s+\d{1,2}$")
 LABELS = {"annex", "table", "clause", "appendix", "schedule", "part", "class", "grade", "type", "item", "section", "exhibit", "form", "block", "anlage", "anexo", "annexe", "tabelle"}
@@ -76,7 +78,7 @@ def is_dense(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "！" <= c <= "｠"
 
 
-def suppressed(text: str, start: int, dot: int, nxt: str) -> bool:
+def suppressed(text: str, start: int, dot: int, nxt: str, sure: frozenset[str] = SURE) -> bool:
     """Whether the single full stop at `dot` of the sentence from `start` belongs to an abbreviation, list number or ordinal."""
     m = WORD_BEFORE.search(text, max(start, dot - 40), dot)
     if not m:
@@ -85,7 +87,7 @@ def suppressed(text: str, start: int, dot: int, nxt: str) -> bool:
     bare = word.lower().rpartition("'")[2].rpartition("’")[2]
     if not text[start:head].strip(SPACE + "([•-–—") and LIST_HEAD.match(word):
         return True
-    if word in ("M/s", "M/S") or bare in SURE or (bare in BEFORE_DIGIT and nxt.isdigit()):
+    if word in ("M/s", "M/S") or bare in sure or (bare in BEFORE_DIGIT and nxt.isdigit()):
         return True
     if bare in BEFORE_CAPITAL:
         return not (nxt.isupper() or nxt in "([\"“«„•" or nxt.isdigit())
@@ -109,6 +111,7 @@ def sentence_ends(text: str) -> list[int]:
     opens = [a for a, _ in quotes]
     ends: list[int] = []
     start = 0
+    sure = SURE_IN.get(language(text), SURE)
     thai = not text.isascii() and THAI.search(text) is not None
     stops = [(m.start(), m.end(), True) for m in TERMINATOR.finditer(text)]
     if thai:
@@ -159,7 +162,7 @@ def sentence_ends(text: str) -> list[int]:
                 if not (m and (nxt.isupper() or not nxt.islower()) and not is_dense(nxt) and nxt.isascii()):
                     continue
         elif mark == ".":
-            if nxt.islower() or nxt in ",;:)" or suppressed(text, start, a, nxt):
+            if nxt.islower() or nxt in ",;:)" or suppressed(text, start, a, nxt, sure):
                 continue
         elif set(mark) <= {".", "…"}:
             if nxt.islower() or (a > 0 and text[a - 1] in SPACE and not nxt.isupper()):

@@ -144,6 +144,12 @@ def test_long_quotations_end_nothing():
     assert len(sentences.sentence_ends("He wrote “open. It ended.\n\nA new one starts. Here” it is.")) > 2
 
 
+def test_abbreviations_go_by_the_language_of_the_text():
+    assert len(sentences.sentence_ends("Die Frist ist nicht offen und wird ggf. Montag von der Prüfung verlängert.")) == 1
+    assert len(sentences.sentence_ends("They were at the bd. It was not in the plan of the board.")) == 2  # one in French only
+    assert len(sentences.sentence_ends("Le plan est dans le bd. Nord et il n'est pas sur la carte.")) == 1
+
+
 def test_agreements_however_written(spark):
     same = ["as in contract BX0417-16?", "CONTRACT BX 417/2016 said", "under bx-417-16, who pays?", "the BX/417/16 rate", "pays BX 417/16 first", "bx417/16", "Agreement Number: bx.0417.16", "agmt. no BX 417 16 applies", "per agreement no. BX-417/16."]
     other = ["contract BX0417-17", "rate of 417.16 lakh", "pages p12-16 and pp417-16a", "on 4/17/2016", "drops to 417.16", "clause 4.17 of 2016", "BX 417", "of 417/16", "AA-417-16"]
