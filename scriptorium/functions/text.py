@@ -24,6 +24,11 @@ MARKER = r"(?i)\[\s*S\s*\d+(?:\s*,\s*S?\s*\d+)*\s*\]"
 ABBREVIATIONS = "cl cls no nos p pp para paras sec s fig figs art amd vol ch vs viz rs i.e e.g".split()
 NOT_FOUND = "This could not be found in the documents."
 DASHES = "-−–"
+#: Shapes of tokens in a font that wasn't mapped, of rulers, of a question that talks of its prompt, and of list marks before a question.
+ODD_SHAPE, RULER = r"[a-z][A-Z]|[;`~@¼½©®ç]|^[a-z]{1,3}-$", r"^[\d\s]{20,}$"
+OF_PROMPT = r"(?i)\b(?:the|this|given) (?:passage|excerpt|text)\b"
+LIST_MARK = r"(?i)^\s*(?:[-*•]|\d+\s*[.):]|q\d*\s*[.):])\s*"
+ANSWER_GAP, LEADING_MARKS = r"(?<=[.!?])\s+|\n+", r"(?s)^((?:\[[^\]]*\][\s.,;:]*)+)(.*)$"
 
 
 def let(value: Column, body) -> Column:
@@ -56,13 +61,13 @@ def join_lines(lines: Column) -> Column:
 
 
 def is_ruler(line: Column) -> Column:
-    return line.rlike(r"^[\d\s]{20,}$")
+    return line.rlike(RULER)
 
 
 def looks_broken(line: Column) -> Column:
     """Three in ten or more of the tokens with a letter have an odd shape (a font that wasn't mapped)."""
     tokens = F.filter(F.split(line, r"\s+"), lambda x: x.rlike(r"\p{L}"))
-    odd = F.filter(tokens, lambda x: x.rlike(r"[a-z][A-Z]|[;`~@¼½©®ç]|^[a-z]{1,3}-$"))
+    odd = F.filter(tokens, lambda x: x.rlike(ODD_SHAPE))
     return (F.size(tokens) >= 2) & (F.size(odd) >= 0.3 * F.size(tokens))
 
 
@@ -112,8 +117,8 @@ def numbers_in(text: Column) -> Column:
 
 def answer_sentences(text: Column) -> Column:
     """Sentences of an answer. Abbreviations end none; markers that open a piece go to the sentence before if that has none."""
-    pieces = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    lead = r"(?s)^((?:\[[^\]]*\][\s.,;:]*)+)(.*)$"
+    pieces = F.transform(F.split(text, ANSWER_GAP), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lead = LEADING_MARKS
     ends = r"(?i)(?:^|[\s(\[])(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.$"
     trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
 
@@ -174,7 +179,7 @@ def squashed(text: Column) -> Column:
 
 def parsed_questions(reply: Column, most: int = 2, least_words: int = 4) -> Column:
     """Questions of a reply, one per line: list marks and quotes off, distinct, then the first `most`."""
-    bare = F.transform(F.split(reply, r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"(?i)^\s*(?:[-*•]|\d+\s*[.):]|q\d*\s*[.):])\s*", ""))
+    bare = F.transform(F.split(reply, r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, LIST_MARK, ""))
     bare = F.transform(bare, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), "^[\"']+|[\"']+$", ""), r"^\s+|\s+$", ""))
     return F.slice(F.array_distinct(F.filter(bare, lambda x: F.endswith(x, F.lit("?")) & (word_count(x) >= least_words))), 1, most)
 
@@ -202,7 +207,7 @@ def section_family(section: Column) -> Column:
 
 
 def mentions_prompt(question: Column) -> Column:
-    return question.rlike(r"(?i)\b(?:the|this|given) (?:passage|excerpt|text)\b")
+    return question.rlike(OF_PROMPT)
 
 
 def clause_id(text: Column) -> Column:

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.functions import labels
 
+#: What the checks of an answer look at: markers of listed sources, figures that stand in them, the one phrase for an open question, amendments with both sides.
 RULES = (
-    "Answer from the numbered sources only. Put the marker of the source, such as [S2], right after each fact, inside its sentence. "
-    f"If the sources hold no answer, reply exactly: \"This could not be found in the documents.\" Where a source is marked as amended, give the amended "
-    "value, say what it replaced, and cite both sources. Names of places with a note in the source mean the same place. Copy numbers, units and clause "
-    "numbers as they stand. Write plain text without formula markup, in two to six sentences or a short list."
+    "Each claim carries the marker of its source before the full stop, as in [S3]; markers of sources that aren't listed are errors. "
+    "Figures are checked against the cited text digit by digit, so repeat them with their units and clause numbers unchanged. "
+    "A source that was amended counts in its amended form: say what changed and mark both sources. "
+    "A note that a place has a new name makes both names the same place. "
+    "What the listed sources leave open is answered by this one sentence alone: This could not be found in the documents. "
+    "Use plain sentences, six at most, and no formula markup."
 )
 
 
