@@ -49,7 +49,7 @@ DECLINES_ELSEWHERE = re.compile(
 )
 NOT_FOUND = re.compile(
     r"\b(?:could|can)(?:n't| ?not) (?:be )?(?:found|find)\b|\b(?:contain|contains|give|gives|hold|holds|offer|has|have) no (?:answer|information|mention)\b|\bnot (?:stated|mentioned|found|covered|addressed|contained|specified|available|answered) (?:in|by)\b"
-    r"|\bdo(?:es)?(?:n't| not) (?:say|state|mention|cover|answer|address|contain)\b|\bsilent (?:on|about)\b|\bno (?:passage|source|document|answer|information|mention)s? (?:covers?|mentions?|answers?|states?|addresses|was found|is given|is stated|found|of this|on this)\b|\bnothing (?:was|is|could be) found\b"
+    r"|\bdo(?:es)?(?:n't| not) (?:say|state|mention|cover|answer|address|contain)\b|\bsilent (?:on|about)\b|\bno (?:passage|source|document|answer|information|mention)s? (?:covers?|mentions?|answers?|states?|addresses|was found|is given|is stated|found|of this|on this)\b|\bnothing (?:was|is|could be) found\b|\bno \w+(?: \w+){0,2} (?:could|can|was|is) (?:be )?(?:found|located)\b"
 )
 NOT_FOUND_ABOUT = re.compile(r"\b(?:document|passage|source|text|material|answer|excerpt|context)s?\b|\bit\b")
 #: Most words of a not-found statement.
