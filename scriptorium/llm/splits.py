@@ -23,7 +23,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scriptorium.runtime import cut_lineage, read_table
+from scriptorium.runtime import cut_lineage, read_table, write_out
 
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 LARGE = 1000
@@ -66,7 +66,7 @@ def edges(rows: DataFrame) -> DataFrame:
 
 def group_labels(rows: DataFrame) -> DataFrame:
     """(record_id, group_id): the smallest record of each record's group."""
-    named = edges(rows)
+    named = write_out(edges(rows))  # read three times; the patterns over the texts run once
     flat = named.select("record_id", F.explode("entities").alias("entity"))
     ends = cut_lineage(flat.groupBy("entity").agg(F.min("record_id").alias("own")))
     several = named.filter(F.size("entities") > 1).select("record_id", F.explode("entities").alias("entity"))
