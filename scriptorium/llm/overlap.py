@@ -253,13 +253,14 @@ def alike(train: DataFrame, evaluation: DataFrame, t: float = T, min_words: int
     one = lambda df: hashed_rows(df.withColumn("kind", F.lit(0)), min_words)  # noqa: E731 - names don't tell tables apart
     train = train.select("id", "text")
     hashed_train, hashed_eval = one(train), one(evaluation.select(F.struct("kind", "id").alias("id"), "text"))
-    train_sets, eval_sets = classes(hashed_train), classes(hashed_eval)
+    # Both readers take the same columns, so one exchange serves them.
+    train_sets, eval_sets = (classes(x).select("name", "text", "m") for x in (hashed_train, hashed_eval))
     *hot, n = _shared_starts(train.withColumn("kind", F.lit(0)), min_words, span_for(t), run)
     parts = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 200_000)
-    sent = [s.select("name", word_numbers(F.col("text")).alias("words"), "rep", "n", "m") for s in (train_sets, eval_sets)]
+    sent = [s.select("name", word_numbers(F.col("text")).alias("words"), "m") for s in (train_sets, eval_sets)]
     found = shared(*sent, hot, parts, t)
-    a = eval_sets.select(F.col("name").alias("eval_name"), *(F.col(c).alias(f"{c}_a") for c in ("text", "rep", "n", "m")))
-    b = train_sets.select(F.col("name").alias("train_name"), *(F.col(c).alias(f"{c}_b") for c in ("text", "rep", "n", "m")))
+    a = eval_sets.select(F.col("name").alias("eval_name"), F.col("text").alias("text_a"), F.col("m").alias("m_a"))
+    b = train_sets.select(F.col("name").alias("train_name"), F.col("text").alias("text_b"), F.col("m").alias("m_b"))
     checked = found.join(b, "train_name").join(a, "eval_name").filter(are_alike("a", "b", t))
     share = F.least(F.lit(1.0), F.col("covered") / (F.col("m_a") + 2)).alias("coverage")
     same = write_out(checked.select("eval_name", "train_name", share))
