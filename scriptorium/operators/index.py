@@ -36,9 +36,14 @@ def term_stats(posts: DataFrame, n: int) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("tok", "df", idf.alias("idf"))  # the broadcast is one row
 
 
+#: Hashes that are hashed together on each level of a fingerprint, and its levels: the last gathers n / FAN ** LEVELS short strings.
+FAN, LEVELS = 1000, 2
+
+
 def fingerprint(chunks: DataFrame) -> DataFrame:
-    """One row: 16 hex digits of the SHA-256 over the passages in order. Hashes of passages are hashed, so no text is gathered."""
-    each = chunks.select("pos", F.sha2(F.concat(F.col("chunk_id"), labels.index_text()), 256).alias("h"))
-    # A thousand hashes are hashed together, then the hashes of those blocks: what is gathered last is n/1000 short strings.
-    blocks = each.groupBy((F.col("pos") / 1000).cast("long").alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return blocks.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256), 1, 16).alias("fingerprint"))
+    """One row: 16 hex digits of the SHA-256 over the passages in order. Hashes of passages are hashed in blocks, and those again, so no text is gathered."""
+    together = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256).alias("h")
+    each = chunks.select(F.col("pos").alias("at"), F.sha2(F.concat(F.col("chunk_id"), labels.index_text()), 256).alias("h"))
+    for _ in range(LEVELS):
+        each = each.groupBy((F.col("at") / FAN).cast("long").alias("b")).agg(together).withColumnRenamed("b", "at")
+    return each.agg(together).select(F.substring("h", 1, 16).alias("fingerprint"))

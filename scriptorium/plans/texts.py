@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import labels, text as tx
-from scriptorium.operators import curated, index, layout, pack, quality
+from scriptorium.operators import curated, index, layout, pack, quality, sections
 from scriptorium.operators.ordered import Ordered
 from scriptorium.plans import sqltext as sql
 from scriptorium.runtime import read_table
@@ -118,6 +118,21 @@ def unit_merging(spark, sf_dir):
     return pack.merging(pack.sized_units(read_table(spark, sf_dir, "units")))
 
 
+def _scanned_blocks(spark, sf_dir):
+    """Scanned passages as blocks in the order of the list."""
+    return read_table(spark, sf_dir, "chunks").filter("source = 'pdf'").select("doc_id", F.col("pos").alias("ord"), F.element_at("pdf_pages", 1).alias("page"), "text")
+
+
+def numbered_units(spark, sf_dir):
+    """Clauses, tables and appendices that scanned passages open, by their numbers."""
+    return sections.units_of(_scanned_blocks(spark, sf_dir)).select("doc_id", "unit_id", "unit_key", "unit_group", "title", "mergeable", F.size("paragraphs").alias("paragraphs"))
+
+
+def numbered_passages(spark, sf_dir):
+    """The same, packed to passages."""
+    return sections.passages(_scanned_blocks(spark, sf_dir), "Scanned").select("doc_id", "first_unit", "part_no", "chunk_id", "section", "part", "title", F.size("covers").alias("covers"), F.length("text").alias("characters"))
+
+
 def build_summary(spark, sf_dir):
     return quality.build_summary(read_table(spark, sf_dir, "chunks"))
 
@@ -150,7 +165,7 @@ def broken_tables(spark, sf_dir):
 QUERIES = {
     f.__name__: f for f in (
         normalize_text, join_lines_dehyphen, layout_noise, citation_labels, snippets, clause_ids, clause_keys, window_labels, alias_annotation, curated_parts, amendment_targets, part_forward_fill, section_runs,
-        gap_islands_events, paragraph_runs, window_packing, group_units, unit_merging, build_summary, build_violations, id_changes, fingerprint, gold_validation, uncovered_amendments, broken_tables,
+        gap_islands_events, paragraph_runs, window_packing, group_units, unit_merging, numbered_units, numbered_passages, build_summary, build_violations, id_changes, fingerprint, gold_validation, uncovered_amendments, broken_tables,
     )
 }
 
@@ -216,8 +231,8 @@ SELECT doc_id, unit_id, head FROM f""",
     "build_violations": f"""SELECT chunk_id, 'duplicate id' AS problem FROM chunks GROUP BY chunk_id HAVING count(*) > 1 UNION ALL SELECT chunk_id, 'empty text' FROM chunks WHERE trim(coalesce(text, '')) = ''
 UNION ALL SELECT chunk_id, 'no pages' FROM chunks WHERE coalesce(len(pdf_pages), 0) = 0 UNION ALL SELECT chunk_id, 'too many tokens' FROM chunks WHERE {_SIZE} > 512""",
     "id_changes": "SELECT unit_id, 'added' AS change FROM (SELECT unit_id FROM units EXCEPT SELECT unit_id FROM windows) UNION ALL SELECT unit_id, 'removed' FROM (SELECT unit_id FROM windows EXCEPT SELECT unit_id FROM units)",
-    "fingerprint": f"""WITH h AS (SELECT pos, sha256(chunk_id || {sql.INDEX_TEXT}) AS h FROM chunks), b AS (SELECT pos // 1000 AS b, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM h GROUP BY pos // 1000)
-SELECT left(sha256(string_agg(h, '' ORDER BY b)), 16) AS fingerprint FROM b""",
+    "fingerprint": f"""WITH h AS (SELECT pos, sha256(chunk_id || {sql.INDEX_TEXT}) AS h FROM chunks), b AS (SELECT pos // 1000 AS b, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM h GROUP BY pos // 1000),
+c AS (SELECT b // 1000 AS c, sha256(string_agg(h, '' ORDER BY b)) AS h FROM b GROUP BY b // 1000) SELECT left(sha256(string_agg(h, '' ORDER BY c)), 16) AS fingerprint FROM c""",
     "gold_validation": f"""WITH ev AS (SELECT id, unnest(evidence) AS e FROM gold), j AS (SELECT ev.id, e.chunk_id AS cid, e.pdf_pages AS pages, e.quote AS quote, k.* FROM ev LEFT JOIN chunks k ON k.chunk_id = e.chunk_id),
   a AS (SELECT id, question_type <> 'unanswerable' AS ok, evidence, answer, doc, question_type, wording, question FROM gold)
 SELECT id, 'unknown doc ' || doc AS problem FROM a WHERE doc NOT IN {quality.DOCS} UNION ALL SELECT id, 'unknown type ' || question_type FROM a WHERE question_type NOT IN {quality.TYPES}
