@@ -14,8 +14,9 @@ from scriptorium.runtime import cut_lineage
 
 K1, B = 1.5, 0.75
 RRF_K, CANDIDATES = 60, 30
-#: Vectors per block of the query by passage grid.
-QUERY_BLOCK, PASSAGE_BLOCK, POSTING_BLOCK = 2048, 16384, 8192
+#: Rows per block of the query by passage grid. What is copied for a batch of queries is the index once per QUERY_BLOCK of them, so that is large; a cell
+#: works on as many of its queries at a time as CELLS scores allow.
+QUERY_BLOCK, PASSAGE_BLOCK, POSTING_BLOCK = 32768, 16384, 8192
 #: Scores held at once in a cell.
 CELLS = 1 << 22
 
@@ -112,11 +113,14 @@ def dense_ranking(query_vectors: DataFrame, vectors: DataFrame, k: int = CANDIDA
         if queries.empty or passages.empty:
             return pd.DataFrame([], columns=["qid", "pos", "score"])
         passages = passages.sort_values("pos", ignore_index=True)
-        a, b = np.stack(queries.qvec).astype(np.float64), np.stack(passages.vec).astype(np.float64)
-        scores = a @ b.T
-        best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
-        qid = np.repeat(np.array(list(queries.qid), dtype=object), best.shape[1])
-        return pd.DataFrame({"qid": qid, "pos": passages.pos.to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
+        names, places = np.array(list(queries.qid), dtype=object), passages.pos.to_numpy()
+        b = np.stack(passages.vec).astype(np.float64).T
+        out, step = [], max(1, CELLS // len(places))
+        for low in range(0, len(names), step):
+            scores = np.stack(queries.qvec.iloc[low : low + step]).astype(np.float64) @ b
+            best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+            out.append((np.repeat(names[low : low + step], best.shape[1]), places[best].ravel(), np.take_along_axis(scores, best, axis=1).ravel()))
+        return pd.DataFrame({"qid": np.concatenate([x for x, _, _ in out]), "pos": np.concatenate([x for _, x, _ in out]), "score": np.concatenate([x for _, _, x in out])})
 
     kind = dict(query_vectors.dtypes)["qid"]
     met = q.groupBy("bq", "bp").cogroup(p.groupBy("pq", "pp")).applyInPandas(cell, f"qid {kind}, pos long, score double")
