@@ -14,9 +14,11 @@ from scriptorium.runtime import cut_lineage
 
 K1, B = 1.5, 0.75
 RRF_K, CANDIDATES = 60, 30
-#: Rows per block of the query by passage grid. What is copied for a batch of queries is the index once per QUERY_BLOCK of them, so that is large; a cell
+#: Vectors per block of the query by passage grid. What is copied for a batch of queries is the index once per QUERY_BLOCK of them, so that is large; a cell
 #: works on as many of its queries at a time as CELLS scores allow.
-QUERY_BLOCK, PASSAGE_BLOCK, POSTING_BLOCK = 32768, 16384, 8192
+QUERY_BLOCK, PASSAGE_BLOCK = 32768, 16384
+#: Query tokens, and postings, of a cell of the keyword grid: as few blocks as that allows, as each side is copied to all blocks of the other.
+CELL_ROWS = 1_000_000
 #: Scores held at once in a cell.
 CELLS = 1 << 22
 
@@ -43,7 +45,7 @@ def bm25_scores_of(pairs: DataFrame, terms: DataFrame, posts: DataFrame, stats:
     return rows.groupBy("qid", "pos").agg(F.sum(F.col("w") * saturation(avgdl)).alias("score"))
 
 
-def bm25_ranking(terms: DataFrame, posts: DataFrame, stats: DataFrame, n: int, avgdl: float, k: int = CANDIDATES, query_block: int = QUERY_BLOCK, passage_block: int = POSTING_BLOCK) -> DataFrame:
+def bm25_ranking(terms: DataFrame, posts: DataFrame, stats: DataFrame, n: int, avgdl: float, k: int = CANDIDATES, query_block: int | None = None, passage_block: int | None = None) -> DataFrame:
     """(qid, pos, score, rank): the best k passages of each query among those with a score above 0.
 
     The index is cut by passage: a cell of the grid of query blocks by passage blocks adds up the scores of its passages and
@@ -51,9 +53,14 @@ def bm25_ranking(terms: DataFrame, posts: DataFrame, stats: DataFrame, n: int, a
     """
     spark = posts.sparkSession
     weights = cut_lineage(weighted_terms(terms, stats).select("qid", F.xxhash64("tok").alias("token"), "w"))
-    queries = weights.agg(F.count_distinct("qid")).first()[0]
-    bq = max(1, -(-queries // query_block))
-    bp = max(1, -(-n // passage_block), min(spark.sparkContext.defaultParallelism, -(-n // 256)))
+    if query_block:
+        bq = max(1, -(-weights.agg(F.count_distinct("qid")).first()[0] // query_block))
+    else:
+        bq = max(1, -(-weights.count() // CELL_ROWS))
+    if passage_block:
+        bp = max(1, -(-n // passage_block))
+    else:  # with few queries the passages are spread over the cores
+        bp = max(1, -(-posts.count() // CELL_ROWS), min(-(-spark.sparkContext.defaultParallelism // bq), -(-n // 256)))
     q = weights.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int")).withColumn("bp", F.explode(F.sequence(F.lit(0), F.lit(bp - 1))))
     # Only postings of tokens that are asked for are copied to the cells of their passages.
     asked = weights.select(F.col("token").alias("term")).distinct()
