@@ -6,13 +6,12 @@ together again to paragraphs: words cut at a line end are joined, also across a
 between, compounds keep their own hyphen, and misread letters are put right.
 
 The model starts from weights for how such lines look (LOOK, STEP) and is fitted to the corpus by Viterbi training: the likeliest
-states of FIT_TEXTS texts are counted, the first weights standing for PRIOR lines each, and the counts become the weights.
+states of all texts are counted, texts of the same looks together, the first weights standing for PRIOR lines each, and the counts become the weights.
 
-What counts as a word is learned from the corpus: one aggregation counts the words and hyphenated compounds of all texts. Those that
-make up one in SHARE of all words or more are broadcast, so there are at most SHARE of them; a word that is rarer may be
-any word and counts as that frequent when it is judged. A word is misread if it is unknown, or rare beside what it should be, and
-undoing one or two confusions of letters gives a known word. Running headers are recognised by the titles and codes of
-the documents, by the same rule (one in SHARE_TITLES of the passages or more).
+What counts as a word is learned from the corpus: one aggregation counts the words and hyphenated compounds of all texts, which are
+broadcast. A word is misread if it is unknown, or rare beside what it should be, and undoing one or two confusions of letters gives
+a known word. Running headers are recognised by the titles and codes of the documents. All of this is learned from every text,
+word and title, whatever the size of the corpus.
 
 Defined results: null and empty texts stay as they are; a text of one line can't hold a header or page number; numbers
 in a running text are no page numbers; repeated rows count once.
@@ -22,17 +21,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scriptorium.runtime import read_table, write_out
 
-#: The rarest words and titles that are learned: one in so many.
-SHARE, SHARE_TITLES = 1_000_000, 50_000
-#: Texts that the line model is fitted on, and lines that its first weights count for.
-FIT_TEXTS, PRIOR = 2_000, 200.0
+#: Lines that the first weights of the line model count for, and rounds of its training.
+PRIOR, ROUNDS = 200.0, 3
 #: A word is rare beside another if that occurs this many times as often.
 RARER = 8
 #: What a scanner reads in place of a letter. Read, meant.
@@ -81,20 +79,56 @@ def viterbi(looks: list[str], weights: Weights = (LOOK, STEP)) -> list[str]:
     return [STATES[k] for k in reversed(path)]
 
 
-def fit_lines(texts: list[list[str]], rounds: int = 3) -> Weights:
+Counts = tuple[dict[str, list[float]], dict[str, list[float]]]
+
+
+def tally(texts: Iterable[tuple[list[str], int]], weights: Weights) -> Counts:
+    """How often the likeliest states of texts (looks, how many have them) show each look, and follow each other."""
+    seen, step = {s: [0.0] * len(OBSERVED) for s in STATES}, {s: [0.0] * len(STATES) for s in STATES}
+    for looks, n in texts:
+        states = viterbi(looks, weights)
+        for state, look in zip(states, looks):
+            seen[state][OBSERVED.index(look)] += n
+        for a, b in zip(states, states[1:]):
+            step[a][STATES.index(b)] += n
+    return seen, step
+
+
+def fitted(counts: Counts) -> Weights:
+    """Weights from counts and the first weights."""
+    logs = lambda rows, first: {s: tuple(math.log((x + PRIOR * math.exp(w)) / (sum(v) + PRIOR * sum(map(math.exp, first[s])))) for x, w in zip(v, first[s])) for s, v in rows.items()}
+    return logs(counts[0], LOOK), logs(counts[1], STEP)
+
+
+def fit_lines(texts: list[list[str]], rounds: int = ROUNDS) -> Weights:
     """Weights from the looks of the lines of texts, by Viterbi training."""
     weights: Weights = (LOOK, STEP)
     for _ in range(rounds):
-        seen = {s: [PRIOR * math.exp(w) for w in LOOK[s]] for s in STATES}
-        step = {s: [PRIOR * math.exp(w) for w in STEP[s]] for s in STATES}
-        for looks in texts:
-            states = viterbi(looks, weights)
-            for state, look in zip(states, looks):
-                seen[state][OBSERVED.index(look)] += 1
-            for a, b in zip(states, states[1:]):
-                step[a][STATES.index(b)] += 1
-        logs = lambda rows: {s: tuple(math.log(x / sum(v)) for x in v) for s, v in rows.items()}
-        weights = (logs(seen), logs(step))
+        weights = fitted(tally(((looks, 1) for looks in texts), weights))
+    return weights
+
+
+def fit_corpus(texts: DataFrame, reader: Broadcast) -> Weights:
+    """The weights of `fit_lines` over all texts (text): looks are found and counted on the executors, and 40 sums of each task come back per round."""
+
+    def looks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Reader(*reader.value)
+        for pdf in batches:
+            yield pd.DataFrame({"looks": ["".join(str(OBSERVED.index(x)) for x in own.looks(t.replace("\r", "").split("\n"))) for t in pdf.text]})
+
+    kinds = write_out(texts.filter("text IS NOT NULL").select("text").mapInPandas(looks, "looks string").groupBy("looks").count())
+    weights: Weights = (LOOK, STEP)
+    for _ in range(ROUNDS):
+
+        def sums(batches: Iterator[pd.DataFrame], weights: Weights = weights) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                seen, step = tally((([OBSERVED[int(x)] for x in looks], int(n)) for looks, n in zip(pdf["looks"], pdf["count"])), weights)
+                yield pd.DataFrame([(k, s, i, x) for k, rows in enumerate((seen, step)) for s, v in rows.items() for i, x in enumerate(v)], columns=["k", "state", "i", "x"])
+
+        counts = {s: [0.0] * len(OBSERVED) for s in STATES}, {s: [0.0] * len(STATES) for s in STATES}
+        for r in kinds.mapInPandas(sums, "k int, state string, i int, x double").groupBy("k", "state", "i").agg(F.sum("x").alias("x")).collect():
+            counts[r.k][r.state][r.i] = r.x
+        weights = fitted(counts)
     return weights
 
 
@@ -235,13 +269,11 @@ class Reader:
         return [BLANKS.sub(" ", PART.sub(right, p)) for p in paragraphs], kinds
 
 
-def lexicon(texts: DataFrame) -> tuple[dict[str, int], int]:
-    """Counts of the words and compounds that make up one in SHARE of all words or more, over all texts (text), and the least such count."""
+def lexicon(texts: DataFrame) -> dict[str, int]:
+    """Counts of the words and compounds of all texts (text)."""
     whole = F.regexp_replace("text", r"[-‐‑­][ \t]*\r?\n", "\n")
     found = F.regexp_extract_all(F.lower(whole), F.lit(r"(?<![a-z0-9|!$@-])[a-z]+(?:-[a-z]+)*(?![a-z0-9|!$@-])"), F.lit(0))
-    counted = write_out(texts.filter("text IS NOT NULL").select(F.explode(found).alias("word")).groupBy("word").count())
-    least = -(-(counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]) // SHARE)
-    return {r.word: r["count"] for r in counted.filter(F.col("count") >= least).collect()}, max(1, least)
+    return {r.word: r["count"] for r in texts.filter("text IS NOT NULL").select(F.explode(found).alias("word")).groupBy("word").count().collect()}
 
 
 def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,16 +286,10 @@ def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repair(rows: DataFrame, titles: DataFrame) -> DataFrame:
     """(src, record_id, para_no, paragraphs, kinds) of rows (src, record_id, para_no, text), with titles (doc_id, doc_title)."""
     spark = rows.sparkSession
-    named = titles.filter("doc_title IS NOT NULL").groupBy("doc_id", "doc_title").count()
-    passages = titles.count()
-    names = sorted((r.doc_id or "", r.doc_title) for r in named.filter(F.col("count") * SHARE_TITLES >= passages).collect())
-    counts, least = lexicon(rows.select("text"))
-    own = Reader(counts, names, least)
-    texts = rows.select("text").filter("text IS NOT NULL")
-    share = min(1.0, 1.2 * FIT_TEXTS / max(1, texts.count()))
-    some = texts.filter(F.xxhash64("text") <= F.lit(int(-(2**63) + share * 2**64 * (1 - 1e-9)))).orderBy(F.xxhash64("text"), "text").limit(FIT_TEXTS).collect()
-    weights = fit_lines([own.looks(r.text.replace("\r", "").split("\n")) for r in some])
-    reader = spark.sparkContext.broadcast((counts, names, least, weights))
+    names = sorted((r.doc_id or "", r.doc_title) for r in titles.filter("doc_title IS NOT NULL").select("doc_id", "doc_title").distinct().collect())
+    counts = lexicon(rows.select("text"))
+    weights = fit_corpus(rows.select("text"), spark.sparkContext.broadcast((counts, names)))
+    reader = spark.sparkContext.broadcast((counts, names, 1, weights))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Reader(*reader.value)

@@ -219,3 +219,18 @@ def test_rare_words_are_no_errors():
     assert reader.correct("bum") is None and reader.correct("b0rn") is None  # as frequent as any word that isn't listed
     assert scans.Reader({"mortar": 900}, [], least=100).correct("m0rtar") == "mortar"
     assert scans.Reader({"mortar": 700}, [], least=100).correct("mortaf") is None
+
+
+def test_rare_words_count_in_a_large_corpus(spark):
+    """Beyond a million words a word that occurs once is still known."""
+    texts = spark.range(2600).select(F.concat(F.lit("girder " ), F.lit("the beam carries load " * 100)).alias("text")).unionByName(spark.createDataFrame([("a lonely parapet",)], "text string"))
+    assert dict(scans.lexicon(texts))["parapet"] == 1
+
+
+def test_line_model_is_fitted_on_all_texts(spark):
+    texts = ["Works\nbody of a text that goes on for long enough here.\n- 4 -"] * 2500 + ["one line of text that is long enough by itself"] * 500
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    own = scans.Reader({}, [("w", "Works")])
+    want = scans.fit_lines([own.looks(t.split("\n")) for t in texts])
+    got = scans.fit_corpus(df, spark.sparkContext.broadcast(({}, [("w", "Works")])))
+    assert all(abs(a - b) < 1e-9 for g, w in zip(got, want) for s in w for a, b in zip(g[s], w[s]))
