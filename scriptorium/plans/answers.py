@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.operators import cite, evaluate, index, mining, prompt, rank
+from scriptorium.operators import cite, evaluate, index, keyword, mining, prompt, rank
 from scriptorium.plans import retrieval as rt, sqltext as sql
 from scriptorium.runtime import cut_lineage, read_table, widen
 from scriptorium.sources.model import HashingEmbedder, embed
@@ -86,24 +86,24 @@ def near_duplicates(spark, sf_dir):
     return mining.near_duplicates(q)
 
 
-def _val_search(spark, sf_dir, k):
-    """Keyword lists of validation questions and their own passage."""
+def _val_search(spark, sf_dir, k, places=False):
+    """Keyword lists of validation questions, their own passage and, if asked for, its place in the whole list."""
     c = rt.corpus_of(spark, sf_dir)
     val = read_table(spark, sf_dir, "val").select(F.col("val_id").alias("qid"), F.col("query").alias("question"), "chunk_id").filter("question IS NOT NULL")
     positives = val.join(c.chunks.select("pos", "chunk_id"), "chunk_id").select("qid", "pos")
-    return c, val, cut_lineage(rank.bm25_ranking(rank.query_terms(val), c.posts, c.stats, c.n, c.avgdl, k)), positives
+    return c, val, *keyword.Grid.of(c).search(val, k, positives if places else None), positives
 
 
 def hard_negatives(spark, sf_dir):
-    c, _, bm25, positives = _val_search(spark, sf_dir, mining.POOL)
+    c, _, bm25, _, positives = _val_search(spark, sf_dir, mining.POOL)
     return mining.hard_negatives(positives, bm25, c.chunks)
 
 
 def pair_filter(spark, sf_dir):
     """Reason to drop each validation question, or that it is kept, and its hard negative. As in its SQL, nothing leaks and only the keyword list counts; filter_cascade has all checks."""
-    c, val, bm25, positives = _val_search(spark, sf_dir, mining.TOP_N)
+    c, val, bm25, places, positives = _val_search(spark, sf_dir, mining.POOL, True)
     near = mining.near_duplicates(val.select(F.col("qid").alias("i"), "question")).select(F.col("i").alias("qid"), F.lit(True).alias("near"))
-    found = bm25.join(positives, ["qid", "pos"]).select("qid", F.lit(True).alias("found")).distinct()
+    found = places.filter(F.col("rank") <= mining.TOP_N).select("qid", F.lit(True).alias("found")).distinct()
     rows = val.join(c.chunks.select("chunk_id", "text"), "chunk_id").join(near, "qid", "left").join(found, "qid", "left").join(mining.hard_negatives(positives, bm25, c.chunks), "qid", "left")
     yes = lambda n: F.coalesce(F.col(n), F.lit(False))
     reason = mining.filter_reason(yes("near"), tx.mentions_prompt(F.col("question")), tx.copies_phrase(F.col("question"), F.col("text")), F.lit(False), yes("found"), F.col("negative_id"))
@@ -206,8 +206,8 @@ def training_triples(spark, sf_dir):
 
 def ir_metrics(spark, sf_dir):
     """Keyword search of validation questions for their one relevant passage."""
-    _, _, bm25, positives = _val_search(spark, sf_dir, 100)
-    r = positives.join(bm25.select("qid", "pos", "rank"), ["qid", "pos"], "left")
+    _, _, _, places, positives = _val_search(spark, sf_dir, 0, True)
+    r = positives.join(places, ["qid", "pos"], "left")
     at = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6)
     gain = F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     return r.agg(
