@@ -123,7 +123,7 @@ def mined_negatives(spark, sf_dir):
     """Hard negatives of all training questions of pairs and val."""
     c = rt.corpus_of(spark, sf_dir)
     questions, positives = _candidates(spark, sf_dir)
-    bm25 = rank.bm25_ranking(rank.query_terms(questions.join(positives.select("qid"), "qid", "left_semi")), c.posts, c.stats, c.n, c.avgdl, mining.POOL)
+    bm25, _ = keyword.Grid.of(c).search(questions.join(positives.select("qid"), "qid", "left_semi"), mining.POOL)
     return mining.hard_negatives(positives, bm25, c.chunks)
 
 
