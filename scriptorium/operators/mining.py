@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.operators import rank
+from scriptorium.operators import keyword, rank
 from scriptorium.operators.search import Corpus
 from scriptorium.runtime import cut_lineage, widen
 from scriptorium.sources.model import Embedder, embed
@@ -92,9 +92,9 @@ def filter_cascade(questions: DataFrame, positives: DataFrame, gold: DataFrame,
     vectors = cut_lineage(embed(widen(left), "qid", "question", embedder, prefix))
     leak = cut_lineage(flag(leaks(vectors, embed(gold, "pos", "question", embedder, prefix)), "leak"))
     left = cut_lineage(left.join(leak, "qid", "left_anti"))
-    bm25 = cut_lineage(rank.bm25_ranking(rank.query_terms(left), corpus.posts, corpus.stats, corpus.n, corpus.avgdl, TOP_N))
     own = left.select("qid", "pos")
-    found = cut_lineage(flag(bm25.join(own, ["qid", "pos"]), "found"))
+    bm25, places = keyword.Grid.of(corpus).search(left, POOL, own)
+    found = cut_lineage(flag(places.filter(F.col("rank") <= TOP_N), "found"))
     missed = cut_lineage(vectors.join(left.select("qid"), "qid", "left_semi").join(found, "qid", "left_anti"))
     passages = cut_lineage(embed(widen(corpus.chunks.select("pos", "text")), "pos", "text", embedder))
     found = found.unionByName(flag(rank.dense_ranking(missed, passages, TOP_N).join(own, ["qid", "pos"]), "found"))
