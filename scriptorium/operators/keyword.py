@@ -23,6 +23,8 @@ PASSAGES, QUESTIONS, CHUNK, ASKED, DENSE = 32_768, 262_144, 1 << 17, 1024, 20
 #: Every how many-th score is looked at for a first bound of the k-th best; steps of 1 in the table's numbers; what rounding to single precision may do to a
 #: sum too large for the table, as a part of it.
 STRIDE, SCALE, ROUNDING = 8, 400, 1e-5
+#: Passages of a cell that are looked at first where it is only asked whether enough of them come before one.
+AT_FIRST = 2048
 TERMS, POSTINGS, QUERIES = range(3)
 
 
@@ -83,6 +85,14 @@ class Cell:
             sums[self.holders[a:b]] += self.worth[a:b]
         return sums, 1, ROUNDING * largest + 1e-9
 
+    def at_least(self, words: np.ndarray, score: float, k: int) -> bool:
+        """Whether k passages are sure to come before one of this score, by the common words of the first passages alone; False if they don't tell."""
+        if not len(self.steps) or float(self.most[words].sum()) * SCALE + len(words) >= 65_000:
+            return False
+        rows = self.row[words]
+        sums = self.table[rows[rows >= 0], :AT_FIRST].sum(axis=0, dtype=np.uint16)
+        return np.count_nonzero(sums > score * SCALE + 0.51 * len(words) + 1) >= k
+
     def exact(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Scores of the passages at these places."""
         np.add.at(self.counts, words, 1)
@@ -181,8 +191,11 @@ class Grid:
     def of(cls, corpus: Corpus) -> Grid:
         return cls(corpus.posts, corpus.stats, corpus.n, corpus.avgdl)
 
-    def run(self, asked: DataFrame, parts: int, k: int) -> DataFrame:
-        """asked is (block, part, qids, toks, own, score), each a list of up to ASKED questions; gives (qid, pos, score, own, before), lists but for qid."""
+    def run(self, asked: DataFrame, parts: int, k: int, few: int | None = None) -> DataFrame:
+        """asked is (block, part, qids, toks, own, score), each a list of up to ASKED questions; gives (qid, pos, score, own, before), lists but for qid.
+
+        Without scores of the own passages those of the cell are given; with `few` only where they are above 0 and fewer than `few` of its passages come before.
+        """
         kind = dict(asked.dtypes)["qid"].removeprefix("array<").removesuffix(">")
         parted = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
         none = lambda name, t: F.lit(None).cast(t).alias(name)
@@ -216,7 +229,11 @@ class Grid:
                                 at = np.searchsorted(cell.places, mine)
                                 there = at < len(cell.places)
                                 there[there] = cell.places[at[there]] == np.asarray(mine)[there]
-                                found.append((np.asarray(mine)[there], cell.exact(w, at[there]), []))
+                                mine, worth = np.asarray(mine)[there], cell.exact(w, at[there])
+                                if few is not None:
+                                    ok = [x > 0 and not cell.at_least(w, x, few) and cell.search(w, 0, [(m, x)])[2][0] < few for m, x in zip(mine.tolist(), worth.tolist())]
+                                    mine, worth = mine[ok], worth[ok]
+                                found.append((mine, worth, []))
                             else:
                                 found.append(cell.search(w, k, list(zip(mine, scores))))
                         lists = lambda parts, t: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x in parts)]), pa.int32()), pa.array(np.concatenate(parts), t))
@@ -226,22 +243,44 @@ class Grid:
         placed = rows.select((F.col("block") * parts + F.col("part")).alias("cell"), "kind", "a", "b", "d", "qid", "toks", "own", "score")
         return placed.repartitionById(cells, "cell").sortWithinPartitions("kind").drop("cell").mapInArrow(work, out)
 
+    @staticmethod
+    def _tokens(questions: DataFrame) -> DataFrame:
+        toks = widen(questions.select("qid", "question")).select("qid", F.transform(tx.search_tokens(F.col("question")), lambda t: F.xxhash64(t)).alias("toks"))
+        return cut_lineage(toks.groupBy("qid").agg(F.flatten(F.collect_list("toks")).alias("toks")))
+
+    @staticmethod
+    def _asked(df: DataFrame) -> DataFrame:
+        return _packed(df, ASKED, f"block int, qid array<{dict(df.dtypes)['qid']}>, toks array<array<long>>, own array<array<long>>, score array<array<double>>")
+
+    def _routed(self, toks: DataFrame, targets: DataFrame) -> DataFrame:
+        own = targets.select("qid", F.col("pos").cast("long").alias("pos")).distinct()
+        return toks.join(own, "qid").select(self.block("pos"), "qid", "toks", F.array("pos").alias("own"), F.lit(None).cast("array<double>").alias("score"))
+
+    def candidates(self, questions: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+        """(qid, pos, score) of the targets (qid, pos) with a score above 0 that fewer than k passages of their block come before: all that can stand in the first k, and few others.
+
+        A question meets the block of its target only.
+        """
+        toks = self._tokens(questions)
+        parts = max(1, -(-self.cores // self.blocks), -(-toks.count() // (self.blocks * self.questions)))
+        routed = self._asked(self._routed(toks, targets)).withColumn("part", F.pmod(F.xxhash64(F.col("qid")[0]), F.lit(parts)).cast("int"))
+        met = self.run(routed, parts, 0, k)
+        return cut_lineage(met.select("qid", F.explode(F.arrays_zip("pos", "found")).alias("x")).select("qid", "x.pos", F.col("x.found").alias("score")))
+
     def search(self, questions: DataFrame, k: int, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
         """Of questions (qid, question): (qid, pos, score, rank) of the best k; and (qid, pos, rank) of the targets (qid, pos) with a score above 0, however far down.
 
-        With k 0 there is no list. Questions of one id count as one text.
+        With k 0 there is no list. Questions of one id count as one text. Targets may come with their score, as `candidates` gives it.
         """
-        toks = widen(questions.select("qid", "question")).select("qid", F.transform(tx.search_tokens(F.col("question")), lambda t: F.xxhash64(t)).alias("toks"))
-        toks = cut_lineage(toks.groupBy("qid").agg(F.flatten(F.collect_list("toks")).alias("toks")))
-        parts = max(1, -(-toks.count() // self.questions), -(-self.cores // self.blocks))
-        kind = dict(toks.dtypes)["qid"]
-        packed = lambda df: _packed(df, ASKED, f"block int, qid array<{kind}>, toks array<array<long>>, own array<array<long>>, score array<array<double>>")
+        toks = self._tokens(questions)
+        parts, packed = max(1, -(-toks.count() // self.questions), -(-self.cores // self.blocks)), self._asked
         every = F.lit(0).alias("block"), "qid", "toks"
         asked = toks.select(*every, F.array().cast("array<long>").alias("own"), F.array().cast("array<double>").alias("score"))
         if targets is not None:
-            own = targets.select("qid", F.col("pos").cast("long").alias("pos")).distinct()
-            routed = toks.join(own, "qid").select(self.block("pos"), "qid", "toks", F.array("pos").alias("own"), F.lit(None).cast("array<double>").alias("score"))
-            scored = self.run(packed(routed).withColumn("part", F.lit(0)), 1, 0).select("qid", F.explode(F.arrays_zip("pos", "found")).alias("x")).filter("x.found > 0")
+            if "score" in targets.columns:
+                scored = targets.select("qid", F.struct("pos", F.col("score").alias("found")).alias("x"))
+            else:
+                scored = self.run(packed(self._routed(toks, targets)).withColumn("part", F.lit(0)), 1, 0).select("qid", F.explode(F.arrays_zip("pos", "found")).alias("x")).filter("x.found > 0")
             scored = scored.groupBy("qid").agg(F.collect_list("x").alias("x")).select("qid", F.col("x.pos").alias("own"), F.col("x.found").alias("score"))
             both = toks.join(scored, "qid", "left" if k else "inner")
             asked = both.select(*every, F.coalesce("own", F.array().cast("array<long>")).alias("own"), F.coalesce("score", F.array().cast("array<double>")).alias("score"))

@@ -81,7 +81,8 @@ def leaks(vectors: DataFrame, gold_vectors: DataFrame, least: float = LEAK) -> D
 def filter_cascade(questions: DataFrame, positives: DataFrame, gold: DataFrame, corpus: Corpus, embedder: Embedder, prefix: str = "") -> DataFrame:
     """(qid, reason, negative_id) of questions (qid, question) with a passage (qid, pos): all six checks, each on what the ones before leave.
 
-    gold is (pos, question). A passage counts as found by the keyword list or the dense list; only questions that the first misses need the second.
+    gold is (pos, question). A passage counts as found by the keyword list or the dense list. Whether it stands there is settled by counting what comes before
+    it, until that is too much; the keyword list of the negative is made for the questions that are left then.
     """
     flag = lambda df, name: df.select("qid", F.lit(True).alias(name)).distinct()
     yes = lambda n: F.coalesce(F.col(n), F.lit(False))
@@ -90,14 +91,16 @@ def filter_cascade(questions: DataFrame, positives: DataFrame, gold: DataFrame,
     rows = cut_lineage(rows.select("qid", "pos", "question", yes("near").alias("near"), tx.mentions_prompt(F.col("question")).alias("mentions"), tx.copies_phrase(F.col("question"), F.col("text")).alias("copies")))
     left = rows.filter(~(F.col("near") | F.col("mentions") | F.col("copies"))).select("qid", "pos", "question")
     vectors = cut_lineage(embed(widen(left), "qid", "question", embedder, prefix))
-    leak = cut_lineage(flag(leaks(vectors, embed(gold, "pos", "question", embedder, prefix)), "leak"))
+    leak = cut_lineage(rank.near_any(vectors, cut_lineage(embed(gold, "pos", "question", embedder, prefix)), LEAK).withColumn("leak", F.lit(True)))
     left = cut_lineage(left.join(leak, "qid", "left_anti"))
     own = left.select("qid", "pos")
-    bm25, places = keyword.Grid.of(corpus).search(left, POOL, own)
-    found = cut_lineage(flag(places.filter(F.col("rank") <= TOP_N), "found"))
-    missed = cut_lineage(vectors.join(left.select("qid"), "qid", "left_semi").join(found, "qid", "left_anti"))
+    grid = keyword.Grid.of(corpus)
+    listed = grid.candidates(left, own, TOP_N)
     passages = cut_lineage(embed(widen(corpus.chunks.select("pos", "text")), "pos", "text", embedder))
-    found = found.unionByName(flag(rank.dense_ranking(missed, passages, TOP_N).join(own, ["qid", "pos"]), "found"))
+    dense = cut_lineage(flag(rank.within(vectors.join(left.select("qid"), "qid", "left_semi"), own, passages, TOP_N), "found"))
+    asked = left.join(listed.select("qid").union(dense.select("qid")), "qid", "left_semi")
+    bm25, places = grid.search(asked, POOL, listed)
+    found = dense.unionByName(flag(places.filter(F.col("rank") <= TOP_N), "found")).distinct()
     rows = rows.join(leak, "qid", "left").join(found, "qid", "left").join(hard_negatives(own, bm25, corpus.chunks), "qid", "left")
     reason = filter_reason(F.col("near"), F.col("mentions"), F.col("copies"), yes("leak"), yes("found"), F.col("negative_id"))
     return rows.select("qid", F.coalesce(reason, F.lit("kept")).alias("reason"), F.when(reason.isNull(), F.col("negative_id")).alias("negative_id"))

@@ -19,8 +19,10 @@ RRF_K, CANDIDATES = 60, 30
 QUERY_BLOCK, PASSAGE_BLOCK = 32768, 16384
 #: Query tokens, and postings, of a cell of the keyword grid: as few blocks as that allows, as each side is copied to all blocks of the other.
 CELL_ROWS = 1_000_000
-#: Scores held at once in a cell.
-CELLS = 1 << 22
+#: Scores held at once in a cell; and where they are only looked at once.
+CELLS, TILE = 1 << 22, 1 << 20
+#: Queries and passages of a cell that only counts.
+COUNTED_QUERIES, COUNTED_PASSAGES = 1 << 16, 1 << 16
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -134,6 +136,119 @@ def dense_ranking(query_vectors: DataFrame, vectors: DataFrame, k: int = CANDIDA
     return ranked(met, k)
 
 
+def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in double and in single precision."""
+    exact = np.stack(vectors.to_numpy()).astype(np.float64)
+    return exact, exact.astype(np.float32)
+
+
+def _off(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how much a product in single precision may be off, for each row of a."""
+    return 1e-7 + 2.4e-7 * a.shape[1] * np.linalg.norm(a, axis=1) * (np.linalg.norm(b, axis=1).max() if len(b) else 0.0)
+
+
+def _tiles(n: int, first: int = 512):
+    """Ranges of 0 to n, each twice as long as the one before, up to eight times the first."""
+    low, size = 0, first
+    while low < n:
+        yield low, min(n, low + size)
+        low, size = low + size, min(2 * size, 8 * first)
+
+
+def _near_any(a: np.ndarray, a32: np.ndarray, b: np.ndarray, b32: np.ndarray, least: float) -> np.ndarray:
+    """Whether the best product of each row of a with the rows of b, to nine places, the first of equal ones, is `least` or more."""
+    off, sure, most = _off(a, b), np.zeros(len(a), bool), np.full(len(a), -np.inf)
+    for low, high in _tiles(len(b)):
+        left = np.flatnonzero(~sure)
+        for i in range(0, len(left), step := max(1, TILE // (high - low))):
+            rows = left[i : i + step]
+            most[rows] = np.maximum(most[rows], (a32[rows] @ b32[low:high].T).max(axis=1))
+        sure = most >= least + off + 1e-9
+    close = np.flatnonzero(~sure & (most >= least - off - 1e-9))
+    for i in range(0, len(close), step := max(1, CELLS // max(1, len(b)))):
+        scores = a[close[i : i + step]] @ b.T
+        sure[close[i : i + step]] = scores[np.arange(len(scores)), np.round(scores, 9).argmax(axis=1)] >= least
+    return sure
+
+
+def near_any(query_vectors: DataFrame, vectors: DataFrame, least: float, query_block: int = COUNTED_QUERIES, passage_block: int = COUNTED_PASSAGES) -> DataFrame:
+    """(qid) of the queries (qid, vec) with a product of `least` or more with one of (pos, vec). A query is done with as soon as one is found."""
+    cores = query_vectors.sparkSession.sparkContext.defaultParallelism
+    bq, bp = max(1, cores, -(-query_vectors.count() // query_block)), max(1, -(-vectors.count() // passage_block))
+    q = query_vectors.select("qid", F.col("vec").alias("qvec"), F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int").alias("bq")).withColumn("bp", F.explode(F.sequence(F.lit(0), F.lit(bp - 1))))
+    p = vectors.select("pos", "vec", F.pmod(F.xxhash64("pos"), F.lit(bp)).cast("int").alias("pp")).withColumn("pq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+
+    def cell(queries: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or passages.empty:
+            return pd.DataFrame([], columns=["qid"])
+        return queries.loc[_near_any(*_matrix(queries.qvec), *_matrix(passages.sort_values("pos").vec), least), ["qid"]]
+
+    kind = dict(query_vectors.dtypes)["qid"]
+    return q.groupBy("bq", "bp").cogroup(p.groupBy("pq", "pp")).applyInPandas(cell, f"qid {kind}").distinct()
+
+
+def _ahead(a: np.ndarray, a32: np.ndarray, own: np.ndarray, score: np.ndarray, b: np.ndarray, b32: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """How many of the passages, by place, come before the own one of each query, which has this score; k or more may be given as any number from k."""
+    off, ahead = _off(a, b), np.zeros(len(a), np.int64)
+    limit = np.nextafter((score + off + 2e-9).astype(np.float32), np.float32(np.inf))
+    for low, high in _tiles(len(b)):
+        left = np.flatnonzero(ahead < k)
+        for i in range(0, len(left), step := max(1, TILE // (high - low))):
+            rows = left[i : i + step]
+            ahead[rows] += np.count_nonzero(a32[rows] @ b32[low:high].T > limit[rows, None], axis=1)
+    left, mine = np.flatnonzero(ahead < k), np.round(score, 9)[:, None]
+    for i in range(0, len(left), step := max(1, CELLS // max(1, len(b)))):
+        rows = left[i : i + step]
+        scores = np.round(a[rows] @ b.T, 9)
+        ahead[rows] = np.count_nonzero((scores > mine[rows]) | ((scores == mine[rows]) & (places < own[rows, None])), axis=1)
+    return ahead
+
+
+def within(query_vectors: DataFrame, targets: DataFrame, vectors: DataFrame, k: int, query_block: int = COUNTED_QUERIES, passage_block: int = COUNTED_PASSAGES) -> DataFrame:
+    """(qid, pos) of the targets (qid, pos) that stand in the first k of `dense_ranking`, without the lists.
+
+    What comes before a target is counted, first in its own block of passages; only where that is fewer than k are the other blocks looked at.
+    """
+    n_q, n_p = query_vectors.count(), vectors.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    bp = max(1, -(-n_p // passage_block))
+    block = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bp)).cast("int")
+    kind = dict(query_vectors.dtypes)["qid"]
+
+    def cell(queries: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+        passages = passages.sort_values("pos", ignore_index=True)
+        places = passages.pos.to_numpy()
+        if queries.score.isna().all():  # their own passages are in this block, if they have vectors
+            queries = queries[queries.own.isin(places)]
+        if queries.empty or passages.empty:
+            return pd.DataFrame([], columns=["qid", "pos", "score", "ahead"])
+        a, b, own = _matrix(queries.qvec), _matrix(passages.vec), queries.own.to_numpy()
+        if queries.score.isna().all():
+            score = np.einsum("ij,ij->i", a[0], b[0][np.searchsorted(places, own)])
+        else:
+            score = queries.score.to_numpy(float)
+        ahead = _ahead(*a, own, score, *b, places, k)
+        return pd.DataFrame({"qid": queries.qid.to_numpy(), "pos": own, "score": score, "ahead": ahead})[ahead < k]
+
+    def counted(q: DataFrame, parts: int) -> DataFrame:
+        """q is (qid, qvec, own, score, bp)."""
+        p = vectors.select("pos", "vec", block("pos").alias("pp")).withColumn("pq", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        q = q.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
+        return cut_lineage(q.groupBy("bq", "bp").cogroup(p.groupBy("pq", "pp")).applyInPandas(cell, f"qid {kind}, pos long, score double, ahead long"))
+
+    own = targets.select("qid", F.col("pos").cast("long").alias("own")).distinct()
+    asked = query_vectors.select("qid", F.col("vec").alias("qvec")).join(own, "qid")
+    first = counted(asked.withColumn("score", F.lit(None).cast("double")).withColumn("bp", block("own")), max(1, -(-cores // bp), -(-n_q // (bp * query_block))))
+    if bp == 1:
+        return first.select("qid", "pos")
+    few = asked.join(first.select("qid", F.col("pos").alias("own"), "score"), ["qid", "own"])
+    others = few.withColumn("bp", F.explode(F.sequence(F.lit(0), F.lit(bp - 1)))).filter(F.col("bp") != block("own"))
+    rest = counted(others, max(1, -(-cores // bp)))
+    # A block that gave no row for a target holds k or more that come before it.
+    total = rest.groupBy("qid", "pos").agg(F.count(F.lit(1)).alias("blocks"), F.sum("ahead").alias("more"))
+    return first.join(total, ["qid", "pos"]).filter((F.col("blocks") == bp - 1) & (F.col("ahead") + F.col("more") < k)).select("qid", "pos")
+
+
 def dot(a, b):
     """Dot product of two array columns, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
