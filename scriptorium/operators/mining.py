@@ -152,7 +152,9 @@ def filter_cascade(questions: DataFrame, positives: DataFrame, gold: DataFrame,
     leak = cut_lineage(rank.near_any(vectors, cut_lineage(embed(gold, "pos", "question", embedder, prefix)), LEAK).withColumn("leak", F.lit(True)))
     left = write_out(left.join(leak, "qid", "left_anti"))
     own = left.select("qid", "pos")
-    grid = keyword.Grid.of(corpus)
+    # As many blocks as cores, so that the postings go to one cell each and not to several for different questions.
+    cores = questions.sparkSession.sparkContext.defaultParallelism
+    grid = keyword.Grid(corpus.posts, corpus.stats, corpus.n, corpus.avgdl, min(keyword.PASSAGES, max(keyword.AT_FIRST, -(-corpus.n // cores))))
     listed = grid.candidates(left, own, TOP_N)
     passages = write_out(embed(widen(corpus.chunks.select("pos", "text")), "pos", "text", embedder))
     dense = cut_lineage(flag(rank.within(vectors.join(left.select("qid"), "qid", "left_semi"), own, passages, TOP_N), "found"))
